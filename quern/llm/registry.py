@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint
+from . import op1_fingerprint, op3_mixing, op4_url_rules
 
 _MODULES = {
     "op1_fingerprint": op1_fingerprint,
+    "op3_mixing": op3_mixing,
+    "op4_url_rules": op4_url_rules,
 }
 
 
