@@ -47,13 +47,16 @@ def _powers(base: int, n: int) -> np.ndarray:
 _PIECE = 1 << 20
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and last byte (exclusive) of each word of UTF-8 bytes."""
+def word_hashes(data: bytes, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and last byte (exclusive) of each word of UTF-8 bytes.
+
+    ``space`` marks the bytes that part words.
+    """
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         none = np.zeros(0, np.int64)
         return np.zeros(0, _U), none, none
-    inside = ~_SPACE[raw]
+    inside = ~space[raw]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate(([0], edge))
@@ -69,10 +72,10 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Batch:
     """Word hashes of several texts: ``words`` one after another, ``at`` their bounds."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], space: np.ndarray = _SPACE):
         data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         ends = np.cumsum([len(d) + 1 for d in data]) if data else np.zeros(0, np.int64)
-        self.words, self.begin, self.end = word_hashes(b"\n".join(data))
+        self.words, self.begin, self.end = word_hashes(b"\n".join(data), space)
         self.at = np.concatenate(([0], np.searchsorted(self.begin, ends))).astype(np.int64)
         self.offset = np.concatenate(([0], ends[:-1])).astype(np.int64) if data else np.zeros(0, np.int64)
 
