@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op3_mixing, op4_url_rules, op7_toxicity, op8_near_dedup
+from . import op1_fingerprint, op2_revisits, op3_mixing, op4_url_rules, op5_licenses, op7_toxicity, op8_near_dedup
 
 _MODULES = {
     "op1_fingerprint": op1_fingerprint,
+    "op2_revisits": op2_revisits,
     "op3_mixing": op3_mixing,
     "op4_url_rules": op4_url_rules,
+    "op5_licenses": op5_licenses,
     "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
 }
