@@ -11,8 +11,9 @@
    grouped by union-find.
 4. A bucket whose members are then in one component is finished. In any other
    one the signatures of members of different components are compared in
-   blocks, first for a spanning forest of likely pairs, then for all that are
-   left, and each likely pair is again confirmed on full sets.
+   blocks: first for a forest of likely pairs, confirmed as before; then, in
+   the buckets still open, every likely pair that is not yet joined is held
+   against full sets inside its block, likeliest first, and only links come out.
 
 A pair of exactly the least similarity shares no band with a probability of
 (1 - 0.8**5)**32 = 3e-6 and is passed over by its signature with 1e-8; no
@@ -46,7 +47,7 @@ SLOTS = BANDS * ROWS
 SEED = 0x5EED
 #: Share of equal slots (8 bits of each) from which a pair is worth a full comparison.
 LIKELY = 0.62
-BLOCK = 1024
+BLOCK = 512
 PER_SALT = 512
 _U = np.uint64
 
@@ -120,6 +121,13 @@ def _set(text: str, shingle: int) -> np.ndarray:
     return np.unique(Batch([text]).shingles(shingle)[0])
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * 100 >= percent * (len(a) + len(b) - both)
+
+
 def _confirm(shingle: int, percent: int):
     """Rows (center, salt, member, text), the center's own text first in each (center, salt)."""
 
@@ -134,10 +142,7 @@ def _confirm(shingle: int, percent: int):
                     center = _set(text, shingle)
                     continue
                 own = _set(text, shingle)
-                if min(len(own), len(center)) * 100 < percent * max(len(own), len(center)):
-                    continue
-                both = len(np.intersect1d(center, own, assume_unique=True))
-                if both * 100 >= percent * (len(own) + len(center) - both):
+                if _linked(center, own, percent):
                     found.append((member, c))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
 
@@ -155,37 +160,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     return rows.mapInArrow(_confirm(shingle, percent), "u long, v long")
 
 
-def _likely(forest_only: bool):
-    """Rows (band, i, j, block, member, component, low) by (band, i, j): likely pairs of a cell."""
-
-    def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        low = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
-        group = np.array([r[5] for r in rows])
-        block = np.array([r[3] for r in rows])
-        found = []
-        for x in np.flatnonzero(block == i):
-            other = group != group[x]
-            other &= (block == j) if i != j else (np.arange(len(rows)) > x)
-            y = np.flatnonzero(other)
-            if len(y):
-                share = (low[y] == low[x]).mean(axis=1)
-                found += [(-s, x, z) for s, z in zip(share[share >= LIKELY], y[share >= LIKELY], strict=True)]
-        if forest_only:
-            forest = Forest()
-            found = [f for f in sorted(found) if forest.union(int(group[f[1]]), int(group[f[2]]))]
-        ids = [r[4] for r in rows]
-        return [(min(ids[x], ids[y]), max(ids[x], ids[y])) for _, x, y in found]
+def _by_cell(work, names: list[str]):
+    """Apply ``work`` to the rows of each (band, i, j), which come together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            found = pairs_of(held)
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["center", "member"])
+            found = work(held)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=names)
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
                     yield done()
                     held.clear()
@@ -196,15 +182,69 @@ def _likely(forest_only: bool):
     return run
 
 
-def _open_pairs(members: DataFrame, grouped: DataFrame, lows: DataFrame, forest_only: bool) -> DataFrame:
-    """Likely pairs of different components within the buckets that have several."""
+def _likely(rows: list[tuple]) -> list[tuple[float, int, int]]:
+    """(-share, x, y) of the likely pairs of different components in a cell, likeliest first.
+
+    Rows: band, i, j, block, member, component, low, ...
+    """
+    i, j = rows[0][1], rows[0][2]
+    low = np.frombuffer(b"".join(r[6] for r in rows), np.uint8).reshape(len(rows), -1)
+    group, block = np.array([r[5] for r in rows]), np.array([r[3] for r in rows])
+    found = []
+    for x in np.flatnonzero(block == i):
+        other = group != group[x]
+        other &= (block == j) if i != j else (np.arange(len(rows)) > x)
+        y = np.flatnonzero(other)
+        if len(y):
+            share = (low[y] == low[x]).mean(axis=1)
+            found += [(-s, x, z) for s, z in zip(share[share >= LIKELY], y[share >= LIKELY], strict=True)]
+    return sorted(found)
+
+
+def _forest(rows: list[tuple]) -> list[tuple[int, int]]:
+    """Likely pairs that would join all likely components of a cell: fewer than its rows."""
+    forest, out = Forest(), []
+    for _, x, y in _likely(rows):
+        if forest.union(rows[x][5], rows[y][5]):
+            out.append((min(rows[x][4], rows[y][4]), max(rows[x][4], rows[y][4])))
+    return out
+
+
+def _cell_links(shingle: int, percent: int):
+    """Links that join components of a cell, every likely pair held against full sets.
+
+    A pair is looked at in the first band that both share; once two components
+    are joined their other pairs need no look. Rows go on with bands and text.
+    """
+
+    def work(rows: list[tuple]) -> list[tuple[int, int]]:
+        forest, out, sets = Forest(), [], {}
+        for _, x, y in _likely(rows):
+            if forest.find(rows[x][5]) == forest.find(rows[y][5]):
+                continue
+            if next(b for b, c in zip(rows[x][7], rows[y][7], strict=True) if b == c) != rows[x][0]:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = _set(rows[k][8], shingle)
+            if _linked(sets[x], sets[y], percent):
+                forest.union(rows[x][5], rows[y][5])
+                out.append((rows[x][4], rows[y][4]))
+        return out
+
+    return work
+
+
+def _cells(members: DataFrame, grouped: DataFrame, more: DataFrame) -> DataFrame:
+    """The rows of each cell (two blocks of a bucket) for buckets of several components."""
     placed = members.join(grouped, members["doc_id"] == grouped["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     several = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.ceil(F.count("*") / BLOCK).cast("int").alias("g")).where("a <> z").select("band", "g")
     block = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
-    opened = placed.join(several, "band").withColumn("block", block).join(lows, "doc_id")
+    opened = placed.join(several, "band").withColumn("block", block).join(more, "doc_id")
     cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = opened.withColumn("cell", F.explode(cells)).select("band", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", F.col("doc_id").alias("member"), "component", "low")
-    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "member").mapInArrow(_likely(forest_only), "center long, member long").distinct()
+    extra = [c for c in more.columns if c != "doc_id"]
+    dealt = opened.withColumn("cell", F.explode(cells)).select("band", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", F.col("doc_id").alias("member"), "component", *extra)
+    return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "member")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -227,15 +267,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     texts = materialize(texts.join(asked, "doc_id", "left_semi"), "texts")
     links = materialize(_confirmed(pairs, texts, shingle, percent).union(alike), "links")
     grouped = components(links)
-    lows = sets.select("doc_id", "low")
-    for forest_only in (True, False):
-        tried = pairs
-        pairs = materialize(_open_pairs(members, grouped, lows, forest_only).join(tried, ["center", "member"], "left_anti"), "pairs")
-        more = materialize(_confirmed(pairs, texts, shingle, percent), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            grouped = components(links.union(grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-        pairs = pairs.union(tried)
+    marks = sets.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    again = lambda more: components(more.union(grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    likely = materialize(_cells(members, grouped, marks.select("doc_id", "low")).mapInArrow(_by_cell(_forest, ["center", "member"]), "center long, member long").distinct(), "pairs")
+    grouped = again(_confirmed(likely, texts, shingle, percent))
+    whole = marks.select("doc_id", "low", "bands").join(texts.dropDuplicates(["doc_id"]), "doc_id")
+    rest = _cells(members, grouped, whole).mapInArrow(_by_cell(_cell_links(shingle, percent), ["u", "v"]), "u long, v long")
+    grouped = again(rest)
 
     placed = features.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
     named = placed.join(grouped, placed["first"] == grouped["node"], "left")
