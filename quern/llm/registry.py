@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_fingerprint, op2_revisits, op3_mixing, op4_url_rules, op5_licenses, op7_toxicity, op8_near_dedup, op9_decontaminate, op10_token_counts
+from . import op1_fingerprint, op2_revisits, op3_mixing, op4_url_rules, op5_licenses, op6_pii, op7_toxicity, op8_near_dedup, op9_decontaminate, op10_token_counts
 
 _MODULES = {
     "op1_fingerprint": op1_fingerprint,
@@ -14,6 +14,7 @@ _MODULES = {
     "op3_mixing": op3_mixing,
     "op4_url_rules": op4_url_rules,
     "op5_licenses": op5_licenses,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_near_dedup": op8_near_dedup,
     "op9_decontaminate": op9_decontaminate,
