@@ -1,15 +1,72 @@
-"""Corpus cleaning: toxicity, near-duplicates, decontamination, PII, mixing."""
+"""Corpus cleaning in five stages.
+
+toxicity          drops documents that are scored as toxic
+near_duplicates   keeps the least doc_id of each group (five words, 0.8)
+decontamination   drops documents that hold a benchmark item
+pii               masks personal data and counts the characters anew
+mixing            says how many words of each document the mix takes
+
+Each stage takes (spark, docs, sf_dir); docs are what the stage before kept,
+with the columns of ``documents``. The last returns the plan of the mix.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quern.llm import op3_mixing, op6_pii, op7_toxicity, op8_near_dedup, op9_decontaminate
+from quern.llm.common import materialize, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = op7_toxicity.judge(docs, table(spark, sf_dir, "labels"))
+    return judged.where("predicted = 0").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows that share a doc_id one stays (the least by its columns); rows without one all stay."""
+    judged = materialize(op8_near_dedup.near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept"), "judged")
+    lost = judged.where("not kept").select("doc_id").distinct()
+    left = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    again = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = op9_decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(docs.columns)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = op6_pii.masked(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op3_mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pii),
+    ("mixing", mixing),
+]
 
-STAGES: list = []
+#: SQL says neither the network of the first stage nor the links of the second.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -113,7 +113,7 @@ def _votes(s: Column) -> Column:
     kind, form, digits = s["kind"], s["form"], _digits(s["form"])
     domain = F.lower(F.regexp_extract(form, r"([A-Za-z0-9-]+)$", 1))
     lined = form.rlike(r"^\+?[0-9]+([\x20.-]?[0-9]+)*$") | form.rlike(r"^(\+[0-9]{1,3}\x20)?\([0-9]{3}\)")
-    form_yes = F.when(kind == 0, s["strict"]).when(kind == 1, s["strict"] | form.contains(":")).when(kind == 2, s["holds"]).otherwise(lined & s["holds"])
+    form_yes = F.when(kind == 0, s["strict"]).when(kind == 1, s["holds"] | form.contains(":")).when(kind == 2, s["holds"]).otherwise(lined & s["holds"])
     form_no = F.when(kind == 0, F.lit(False)).when(kind == 1, ~s["holds"]).when(kind == 2, ~s["holds"]).otherwise(~lined)
     known_yes = F.when(kind == 0, domain.isin(*DOMAINS)).when(kind == 1, F.lit(False)).when(kind == 2, digits.rlike(CARD_PREFIX)).otherwise(form.rlike(AREA))
     known_no = F.when(kind == 0, domain.rlike("^[0-9]+$")).when(kind == 1, form.rlike(RESERVED)).when(kind == 2, ~digits.rlike(CARD_PREFIX)).otherwise(digits.rlike("^1?[01]"))
