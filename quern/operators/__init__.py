@@ -1 +1 @@
-"""quern."""
+"""Relational, statistical and versioned operators as DataFrame functions."""

@@ -1 +1 @@
-"""The query language: tokens, syntax tree, lowering and the session."""
+"""The query language: tokens, syntax tree, lowering to DataFrames, session."""

@@ -1 +1 @@
-"""quern."""
+"""Stores, imports and result formats."""

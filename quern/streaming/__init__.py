@@ -1 +1 @@
-"""quern."""
+"""The same dataflow over unbounded input."""
