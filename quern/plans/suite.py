@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.values import field
@@ -293,11 +293,14 @@ add("stats_selectivity", lambda s, d: stats.selectivity(read(s, d, "lineitem"),
 add("stats_sizes", lambda s, d: stats.sizes(read(s, d, "nation")).select("rows"), "SELECT count(*) AS rows FROM nation")
 
 # Versions and log-structured tables, over the events of each user.
-_GONE = F.col("event_type") == "error"
+def _gone() -> Column:
+    return F.col("event_type") == "error"
+
+
 add("mvcc_latest", lambda s, d: versions.newest(read(s, d, "events").drop("ts"), "user_id", "event_id"), "SELECT * EXCLUDE ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 add(
     "mvcc_asof",
-    lambda s, d: versions.as_of(read(s, d, "events").drop("ts"), "user_id", "event_id", 600, _GONE, created_by="event_id", created="event_id", deleted=None),
+    lambda s, d: versions.as_of(read(s, d, "events").drop("ts"), "user_id", "event_id", 600, _gone(), created_by="event_id", created="event_id", deleted=None),
     "SELECT * FROM (SELECT * EXCLUDE ts FROM events WHERE event_id <= 600 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'",
 )
 add(
@@ -333,17 +336,17 @@ add(
     "WITH l AS (SELECT event_id, user_id, event_id % 97 AS tx, CASE event_type WHEN 'signup' THEN 'commit' WHEN 'error' THEN 'abort' ELSE 'write' END AS kind FROM events) SELECT * FROM l WHERE kind = 'write' AND tx IN (SELECT tx FROM l WHERE kind = 'commit') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
 )
 _MERGED = "SELECT * FROM (SELECT * EXCLUDE ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'"
-add("lsm_merge", lambda s, d: versions.merged(read(s, d, "events").drop("ts"), "user_id", "event_id", _GONE), _MERGED)
+add("lsm_merge", lambda s, d: versions.merged(read(s, d, "events").drop("ts"), "user_id", "event_id", _gone()), _MERGED)
 
 
 def _lsm_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = read(spark, sf_dir, "events").drop("ts")
-    upper = versions.compacted([log.where("event_id >= 400")], "user_id", "event_id", _GONE, bottom=False)
-    return versions.compacted([upper, log.where("event_id < 400")], "user_id", "event_id", _GONE)
+    upper = versions.compacted([log.where("event_id >= 400")], "user_id", "event_id", _gone(), bottom=False)
+    return versions.compacted([upper, log.where("event_id < 400")], "user_id", "event_id", _gone())
 
 
 add("lsm_compaction", _lsm_levels, _MERGED)
-add("lsm_point_get", lambda s, d: versions.point_get(read(s, d, "events").drop("ts"), "user_id", 42, "event_id", _GONE), f"SELECT * FROM ({_MERGED}) WHERE user_id = 42")
+add("lsm_point_get", lambda s, d: versions.point_get(read(s, d, "events").drop("ts"), "user_id", 42, "event_id", _gone()), f"SELECT * FROM ({_MERGED}) WHERE user_id = 42")
 
 
 # Streams, run to the end of what there is.

@@ -28,56 +28,54 @@ class ImportStats:
     elapsed: float = 0.0
 
 
-def _is_note(line) -> F.Column:
-    return F.ltrim(line).startswith("#")
+def _wanted(lines: DataFrame) -> DataFrame:
+    return lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
 
 
 def _plain(df: DataFrame) -> DataFrame:
     keep = []
     for f in df.schema.fields:
-        if f.name == _BROKEN or isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             continue
         keep.append(field(f.name).cast("double").alias(f.name) if is_number(f.dataType) else field(f.name))
     return df.select(*keep) if keep else df.select(F.lit(None).cast("double").alias("id"))
 
 
-def _good(raw: DataFrame) -> DataFrame:
-    return raw.where(F.col(_BROKEN).isNull()) if _BROKEN in raw.columns else raw
+def _parsed(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, int]:
+    """The good documents of the wanted lines, and the number of broken ones."""
+    fields = [f for f in schema.fields if f.name != _BROKEN]
+    whole = T.StructType([*fields, T.StructField(_BROKEN, T.StringType())])
+    docs = _wanted(lines).select(F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}).alias("doc"))
+    bad = F.col("doc").isNull() | F.col(f"doc.{_BROKEN}").isNotNull()
+    broken = docs.agg(F.count_if(bad)).first()[0]
+    return _plain(docs.where(~bad).select("doc.*").drop(_BROKEN)), broken
+
+
+def _reader(spark: SparkSession):
+    return spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN)
 
 
 def read_file(spark: SparkSession, path: str) -> tuple[DataFrame, ImportStats]:
     """The good rows of a file or folder, and what was read."""
     begun = time.time()
     lines = spark.read.text(path)
-    blank = F.trim(F.col("value")) == ""
     n, size = lines.agg(F.count(F.lit(1)), F.sum(F.octet_length("value") + 1)).first()
-    raw = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).json(path)
-    good = _good(raw)
-    wanted = lines.where(~blank & ~_is_note(F.col("value"))).count()
-    # Rows are counted from a read of their own: a corrupt column alone can't be asked for.
-    broken = 0
-    if _BROKEN in raw.columns:
-        broken = wanted - good.select(F.hash(*[field(c) for c in good.columns])).count()
-    return _plain(good), ImportStats(n, 0, broken, 0, size or 0, time.time() - begun)
+    df, broken = _parsed(lines, _reader(spark).json(path).schema)
+    return df, ImportStats(n, 0, broken, 0, size or 0, time.time() - begun)
 
 
 def read_buffer(spark: SparkSession, text: str) -> tuple[DataFrame, ImportStats]:
     """The same of a text that the driver holds, such as a request's body."""
     begun = time.time()
-    lines = text.split("\n")
-    wanted = [x for x in lines if x.strip() and not x.lstrip().startswith("#")]
-    if not wanted:
-        return spark.createDataFrame([], "id double"), ImportStats(len(lines), bytes=len(text.encode()))
-    raw = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BROKEN).json(spark.sparkContext.parallelize(wanted))
-    good = _good(raw)
-    broken = len(wanted) - good.select(F.hash(*[field(c) for c in good.columns])).count() if _BROKEN in raw.columns else 0
-    return _plain(good), ImportStats(len(lines), 0, broken, 0, len(text.encode()), time.time() - begun)
+    rows = text.split("\n")
+    lines = spark.createDataFrame([(x,) for x in rows], "value string").coalesce(1)
+    df, broken = _parsed(lines, _reader(spark).json(spark.sparkContext.parallelize(rows)).schema)
+    return df, ImportStats(len(rows), 0, broken, 0, len(text.encode()), time.time() - begun)
 
 
 def read_variant(spark: SparkSession, path: str) -> DataFrame:
     """One variant column ``doc`` a line: strict schemaless mode, missing and null told apart."""
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~_is_note(F.col("value")))
-    return lines.select(F.try_parse_json("value").alias("doc")).where("doc is not null")
+    return _wanted(spark.read.text(path)).select(F.try_parse_json("value").alias("doc")).where("doc is not null")
 
 
 def with_ids(df: DataFrame, first: int) -> DataFrame:
