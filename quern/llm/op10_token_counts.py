@@ -56,7 +56,7 @@ class Trie:
         self.clear()
 
     def clear(self) -> None:
-        self.child: list[dict[str, int]] = [{}]
+        self.child: dict[int, int] = {}  # node and character in one key
         self.best, self.count = [0.0], [0]
         self.known: dict[bytes, int] = {}
 
@@ -65,7 +65,8 @@ class Trie:
         child, best, count, scores = self.child, self.best, self.count, self.scores
         node, path, text = 0, [0], ""
         for i, c in enumerate(word):
-            after = child[node].get(c)
+            step = node << 21 | ord(c)
+            after = child.get(step)
             if after is None:
                 if not text:
                     text = word
@@ -80,9 +81,7 @@ class Trie:
                         total = best[before] + score
                         if total > top or (total == top and count[before] + 1 < n):
                             top, n = total, count[before] + 1
-                after = len(child)
-                child[node][c] = after
-                child.append({})
+                after = child[step] = len(best)
                 best.append(top)
                 count.append(n)
             node = after
@@ -91,8 +90,8 @@ class Trie:
 
     def tokens(self, words: list[bytes]) -> int:
         known = self.known
-        for word in set(words) - known.keys():
-            if len(self.child) > NODES:
+        for word in {w for w in words if w not in known}:
+            if len(self.best) > NODES:
                 self.clear()
                 known = self.known
                 return sum(self.one(w) for w in words)
@@ -101,7 +100,7 @@ class Trie:
 
     def one(self, word: bytes) -> int:
         """As ``tokens`` for one word, where the words of one text fill a trie."""
-        if len(self.child) > NODES:
+        if len(self.best) > NODES:
             self.clear()
         got = self.known.get(word)
         if got is None:
