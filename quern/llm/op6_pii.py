@@ -90,7 +90,7 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def _holds(s: Column) -> Column:
