@@ -21,6 +21,7 @@ WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, LOOK = 16, 8, 8
 BUCKETS = 1 << 14
 GRAM = 4
+_SLICE = 1 << 15
 _U = np.uint64
 
 
@@ -54,22 +55,28 @@ class Features:
         marked[: start[-1]][is_inner] = _FOLD[data[(np.repeat(begin, long) + inner - 1)[is_inner]]]
         grams = np.maximum(long - GRAM + 1, 1)
         self.bounds = np.concatenate(([0], np.cumsum(grams + 1))).astype(np.int64)
-        nth = np.arange(self.bounds[-1]) - np.repeat(self.bounds[:-1], grams + 1)
-        where = np.repeat(start[:-1], grams + 1) + nth - 1
-        code = np.zeros(len(where), _U)
-        is_gram = nth > 0
-        for k in range(GRAM):
-            code[is_gram] = (code[is_gram] << _U(8)) | marked[where[is_gram] + k].astype(_U)
-        index = np.empty(len(where), np.int64)
-        index[is_gram] = (mix64(code[is_gram] + _U(77)) % _U(BUCKETS)).astype(np.int64)
-        index[~is_gram] = BUCKETS + (self.hashes % _U(BUCKETS)).astype(np.int64)
-        self.index = index
+        self.index = np.empty(self.bounds[-1], np.int32)
+        for a in range(0, len(size), _SLICE):  # the row of the word, then those of its runs of characters
+            z = min(a + _SLICE, len(size))
+            many = grams[a:z] + 1
+            at = np.concatenate(([0], np.cumsum(many)))
+            nth = np.arange(at[-1]) - np.repeat(at[:-1], many)
+            where = np.repeat(start[a:z], many) + nth - 1
+            code = np.zeros(at[-1], _U)
+            for k in range(GRAM):
+                code = (code << _U(8)) | marked[where + k].astype(_U)
+            index = (mix64(code + _U(77)) % _U(BUCKETS)).astype(np.int32)
+            index[at[:-1]] = BUCKETS + (self.hashes[a:z] % _U(BUCKETS)).astype(np.int32)
+            self.index[self.bounds[a] : self.bounds[z]] = index
         self.weight = (1 / np.sqrt(grams + 1)).astype(np.float32)
 
     def embed(self, table: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros((0, table.shape[1]), np.float32)
-        return np.add.reduceat(table[self.index], self.bounds[:-1], axis=0) * self.weight[:, None]
+        out = np.zeros((len(self.hashes), table.shape[1]), np.float32)
+        for a in range(0, len(out), _SLICE):
+            z = min(a + _SLICE, len(out))
+            lo, hi = self.bounds[a], self.bounds[z]
+            out[a:z] = np.add.reduceat(table[self.index[lo:hi]], self.bounds[a:z] - lo, axis=0) * self.weight[a:z, None]
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First token and number of tokens of each window, and the windows' bounds by text."""
@@ -116,7 +123,7 @@ class Model:
         pooled = (share[:, :, None] * states).sum(axis=0)
         return look, share, pooled
 
-    def logits(self, feats: Features, some: np.ndarray | None = None, chunk: int = 8192) -> np.ndarray:
+    def logits(self, feats: Features, some: np.ndarray | None = None, chunk: int = 2048) -> np.ndarray:
         """One logit for each window (or for ``some`` of them)."""
         vectors = feats.embed(self.p["table"])
         project = {d: np.vstack([vectors @ self.p[f"x{d}"] + self.p[f"k{d}"], np.zeros((1, 3 * HIDDEN), np.float32)]) for d in "fb"}
@@ -250,16 +257,15 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch:
 
 def _prime(model: Model, feats: Features, y: np.ndarray) -> None:
     """Begin the first coordinate of every vector at its smoothed log odds by text."""
-    text = np.repeat(np.arange(len(y)), np.diff(feats.at))
-    pairs = np.unique(text * len(feats.hashes) + feats.tokens)
-    doc, word = pairs // len(feats.hashes), pairs % len(feats.hashes)
-    spans = np.diff(feats.bounds)[word]
-    rows = np.repeat(feats.bounds[word] - np.concatenate(([0], np.cumsum(spans)[:-1])), spans) + np.arange(spans.sum())
-    seen = np.unique(np.repeat(doc, spans) * (2 * BUCKETS) + feats.index[rows])
-    d, b = seen // (2 * BUCKETS), seen % (2 * BUCKETS)
-    hit = np.bincount(b[y[d] > 0], minlength=2 * BUCKETS)
-    miss = np.bincount(b[y[d] == 0], minlength=2 * BUCKETS)
-    odds = np.log((hit + 1) / (y.sum() + 2)) - np.log((miss + 1) / (len(y) - y.sum() + 2))
+    hit, miss = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
+    for k in range(len(y)):
+        words = np.unique(feats.tokens[feats.at[k] : feats.at[k + 1]])
+        spans = (feats.bounds[words + 1] - feats.bounds[words]).astype(np.int64)
+        rows = np.repeat(feats.bounds[words] - np.concatenate(([0], np.cumsum(spans)))[:-1], spans) + np.arange(spans.sum())
+        (hit if y[k] > 0 else miss)[np.unique(feats.index[rows])] += 1
+    toxic = float(y.sum())
+    clean = len(y) - toxic
+    odds = np.log((hit + toxic / len(y)) / toxic) - np.log((miss + clean / len(y)) / clean)  # 0 where nothing is known
     model.p["table"][:, 0] = np.clip(odds, -3, 3).astype(np.float32)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -110,6 +110,7 @@ class Trie:
 
 def count_tokens(docs: DataFrame, vocabulary: dict[str, float], ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``ident``, n_words and n_tokens of each row."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

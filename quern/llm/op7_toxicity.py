@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bigru import Model, train
-from .common import table
+from .common import small_batches, table
 
-TRAIN_TOXIC, TRAIN_CLEAN = 1000, 1200
+TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2400
 THRESHOLD = 0.7
 SEED = 11
 
@@ -55,6 +55,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with the column ``score``."""
+    small_batches(docs.sparkSession)
     kept = docs.drop("score")
     at = kept.columns.index(text)
     shape = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType())])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 from .components import Forest, components
 from .words import Batch, distinct, mix64, pieces
 
@@ -249,6 +249,7 @@ def _cells(members: DataFrame, grouped: DataFrame, more: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     shape = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, low binary"
     features = materialize(texts.mapInArrow(_features(shingle), shape), "features")

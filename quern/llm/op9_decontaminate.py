@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bigru import _SEPARATORS
-from .common import table
+from .common import small_batches, table
 from .words import Batch, pieces
 
 GRAM = 3
@@ -207,6 +207,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Items]:
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``leaks``: item_id, score, start and end (code points) of each item found."""
+    small_batches(docs.sparkSession)
     out = docs.drop("leaks").withColumn("leaks", F.array().cast(T.ArrayType(LEAK)))
     at = out.columns.index(text)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -44,7 +44,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def word_hashes(data: bytes, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
