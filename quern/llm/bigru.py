@@ -22,6 +22,7 @@ DIM, HIDDEN, LOOK = 16, 8, 8
 BUCKETS = 1 << 14
 GRAM = 4
 _SLICE = 1 << 15
+STEPS = 180
 _U = np.uint64
 
 
@@ -233,6 +234,7 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 12, batch:
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     s = {k: np.zeros_like(v) for k, v in model.p.items()}
     step, prior = 0, _first_guess(model, feats)
+    epochs = max(epochs, min(5 * epochs, STEPS // (1 + 2 * len(y) // batch)))  # few texts: go over them more often
     for epoch in range(epochs):
         logit = prior if epoch < 2 else model.logits(feats)
         top = np.array([a + int(np.argmax(logit[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])

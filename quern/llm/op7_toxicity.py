@@ -2,7 +2,8 @@
 
 The network (see ``bigru``) is trained in numpy on the driver, on a bounded
 sample: at most ``TRAIN_TOXIC`` toxic and ``TRAIN_CLEAN`` clean labelled texts,
-the first ones by a hash of doc_id. The rate of toxic texts among all usable
+the first ones by a hash of doc_id that together have no more than
+``TRAIN_CHARS`` characters; each of them is read whole. The rate of toxic texts among all usable
 labels calibrates the scores. Scoring reads every window of every whole text,
 in the order in which the partitions come, without a shuffle.
 
@@ -28,6 +29,7 @@ from .bigru import Model, train
 from .common import small_batches, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2400
+TRAIN_CHARS = 16_000_000
 THRESHOLD = 0.7
 SEED = 11
 
@@ -36,7 +38,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN) -> Model:
+def _interleaved(label_of: dict[int, int]) -> dict[int, float]:
+    """A place from 0 to 1 for each doc_id, such that both labels are spread evenly."""
+    out: dict[int, float] = {}
+    for label in (0, 1):
+        some = [k for k, v in label_of.items() if v == label]
+        out |= {k: (i + 0.5) / len(some) for i, k in enumerate(some)}
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int = TRAIN_CLEAN, chars: int = TRAIN_CHARS) -> Model:
     """Train on a bounded sample of the labels that may be learned from."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id"))).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -48,8 +59,15 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
         return train([], np.zeros(0))
     label_of = {r["doc_id"]: r["toxic"] for r in picked}
     chosen = docs.sparkSession.createDataFrame([(k,) for k in label_of], "picked long")  # as many as the sample has at most
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("picked"), "left_semi").collect()
-    rows = sorted({(r["doc_id"], r["text"] or "") for r in texts})
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("picked"), "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # a doc_id that repeats counts once
+    place = _interleaved(label_of)
+    size, fit_in = 0, []
+    for k, n in sorted(texts.select("doc_id", F.char_length("text")).collect(), key=lambda r: place[r[0]]):
+        if size + n <= chars:
+            fit_in.append(k)
+            size += n
+    rows = sorted((r["doc_id"], r["text"]) for r in texts.where(F.col("doc_id").isin(fit_in)).collect()) if fit_in else []
     return train([t for _, t in rows], np.array([label_of[k] for k, _ in rows]), share=max(1, counts.get(1, 0)) / total)
 
 
