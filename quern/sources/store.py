@@ -1,7 +1,8 @@
 """Collections as immutable Parquet segments under a chain of manifests.
 
-Each commit writes a new manifest, numbered one up; whoever creates the number
-first has committed, and readers of an older one are not disturbed. All paths
+Each commit writes a new manifest and renames it to the next number; whoever
+takes the number first has committed, and readers of an older one are not
+disturbed. That is as safe as the file system's rename to a name not yet taken. All paths
 go through Spark's file system layer, so the root may lie in any store that the
 cluster reaches.
 """
@@ -80,7 +81,7 @@ class Store:
         if not files.exists(folder):
             return 0
         names = [f.getPath().getName() for f in files.listStatus(folder)]
-        return max((int(n[:20]) for n in names if n.endswith(".json")), default=0)
+        return max((int(n[:20]) for n in names if n.endswith(".json") and n[:20].isdigit()), default=0)
 
     def read(self, version: int | None = None) -> State:
         """The state at a version; the latest by default."""
@@ -99,14 +100,19 @@ class Store:
     def publish(self, state: State) -> State:
         """Commit a draft as the version after its own, if nobody else has."""
         text = json.dumps({"collections": {n: asdict(c) for n, c in state.collections.items()}, "touched": state.touched})
-        try:
-            stream = self._files().create(self._manifest(state.version + 1), False)
+        jvm, files, draft = self.spark._jvm, self._files(), self._path("_manifests", f".draft-{uuid.uuid4().hex}")
+        stream = files.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        fs = jvm.org.apache.hadoop.fs
+        context = fs.FileContext.getFileContext(files.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:  # a rename that fails where the number is taken; whoever reads it finds it whole
+            context.rename(files.makeQualified(draft), files.makeQualified(self._manifest(state.version + 1)), self.spark._sc._gateway.new_array(fs.Options.Rename, 0))
         except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception) or self.head() > state.version:
+            files.delete(draft, False)
+            if "AlreadyExists" in str(e.java_exception) or self.head() > state.version:
                 raise EngineError("WRITE_CONFLICT", "another commit came first") from e
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return State(state.version + 1, state.collections, state.touched)
 
     # Rows.

@@ -164,3 +164,13 @@ def test_server_and_shell(session):
     assert shell.line('funden users haar name $bg "Bob"') == 'ok 1 document\n{ id: 2, name: "Bob", age: 25, city: "HCM" }'
     assert shell.line("\\timing") == "timing on" and "ms" in shell.line("skill")
     assert shell.line("\\opt cost") == "optimizer cost" and shell.line("\\q") is None
+
+
+def test_a_number_is_taken_once(session):
+    from quern.errors import EngineError
+
+    a, b = session.store.read().draft(), session.store.read().draft()
+    session.store.publish(a)
+    with pytest.raises(EngineError) as e:
+        session.store.publish(b)
+    assert e.value.code == "WRITE_CONFLICT" and session.store.head() == a.version + 1
