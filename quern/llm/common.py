@@ -59,6 +59,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 #: Rows of a batch that goes to a Python worker. Spark's own 10,000 rows of
 #: whole texts would take hundreds of megabytes on either side.
 BATCH_ROWS = 256

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 GAP = 2
 #: Identifier and normalised wording of the known sentences.
@@ -86,14 +86,18 @@ def sentences(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_known, known (identifiers in order) and licenses (in order)."""
+    """``docs`` with n_known, known (identifiers in order) and licenses (in order).
+
+    Columns of these names are replaced.
+    """
+    line_name = free_name(docs, "line")
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     cued = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(c)) for c in CUES])
     table_ = F.create_map(*[F.lit(x) for i, s in SENTENCES for x in (s, i)])
     names = F.transform(F.filter(sentences(F.col(text)), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(table_, s), F.lit("-")))
     line = F.when(cued, F.concat(F.lit(","), F.array_join(names, ","), F.lit(","))).otherwise(F.lit(","))
     rules = _longest_first()
-    matches = F.regexp_extract_all(F.col("_line"), F.lit("(?<=,)(?:" + "|".join(f"(?:{p})" for _, p in rules) + ")"), F.lit(0))
+    matches = F.regexp_extract_all(F.col(line_name), F.lit("(?<=,)(?:" + "|".join(f"(?:{p})" for _, p in rules) + ")"), F.lit(0))
 
     def licence(m: Column) -> Column:
         out = F.lit(None).cast("string")
@@ -101,8 +105,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             out = F.when(m.rlike(f"^{p}$"), F.lit(name)).otherwise(out)
         return out
 
-    known = F.filter(F.split(F.col("_line"), ","), lambda x: (x != "") & (x != "-"))
-    return docs.withColumn("_line", line).withColumns({"n_known": F.size(known).cast("long"), "known": F.array_join(known, ","), "licenses": F.array_join(F.transform(matches, licence), ",")}).drop("_line")
+    known = F.filter(F.split(F.col(line_name), ","), lambda x: (x != "") & (x != "-"))
+    return docs.withColumn(line_name, line).withColumns({"n_known": F.size(known).cast("long"), "known": F.array_join(known, ","), "licenses": F.array_join(F.transform(matches, licence), ",")}).drop(line_name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_name, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Spans, the candidate classifier and the query agree on this share.
@@ -227,8 +227,9 @@ def find(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFram
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the spans of ``text`` masked. Two readings; nothing is shuffled but counts."""
     model = fit(docs.select(candidates(F.col(text)).alias("found")))
-    seen = docs.withColumn("_found", candidates(F.col(text)))
-    return seen.withColumn("_spans", decide(F.col("_found"), model)).withColumn(text, mask(F.col(text), F.col("_spans"))).drop("_found", "_spans")
+    found, spans = free_name(docs, "found"), free_name(docs, "spans")
+    seen = docs.withColumn(found, candidates(F.col(text)))
+    return seen.withColumn(spans, decide(F.col(found), model)).withColumn(text, mask(F.col(text), F.col(spans))).drop(found, spans)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

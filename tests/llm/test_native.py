@@ -188,6 +188,8 @@ def test_license_rules(spark, tmp_path):
     one = [r for r in rows if r[0] != 6]
     compare(op5_licenses.scan(spark.createDataFrame(one, DOCS)).drop("text"), op5_licenses.ORACLE_SQL, documents=save(spark, tmp_path / "x", "documents", one, DOCS))
     assert op5_licenses.scan(spark.createDataFrame([], DOCS)).count() == 0
+    clash = op5_licenses.scan(spark.createDataFrame([(1, "Released under the MIT License.", 5, "x")], f"{DOCS}, Line int, known string")).first()
+    assert (clash["Line"], clash["known"], clash["licenses"]) == (5, "mit-released", "MIT")
     assert all(any(c in s for c in op5_licenses.CUES) for _, s in op5_licenses.SENTENCES)
     assert path
 
