@@ -58,7 +58,8 @@ def operands(df: DataFrame, name: str, value: Value) -> tuple[Column, Column] |
 def shown(column: Column) -> Column:
     """A number as text: whole ones without a point, others with six digits."""
     whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
-    return F.when(whole, column.cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.6g", column.cast("double")), r"(\.[0-9]*?)0+($|e)", "$1$2"))
+    digits = F.regexp_replace(F.format_string("%.6g", column.cast("double")), r"(\.[0-9]*?)0+($|e)", "$1$2")
+    return F.when(whole, column.cast("long").cast("string")).otherwise(F.regexp_replace(digits, r"\.($|e)", "$1"))
 
 
 def shown_number(value: float) -> str:

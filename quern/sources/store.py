@@ -15,7 +15,7 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,8 @@ class Collection:
     segments: list[Segment] = field(default_factory=list)
     indexes: list[str] = field(default_factory=list)
     next_id: int = 1
+    #: Path of the last statistics, if the collection was analyzed.
+    stats: str | None = None
 
     @property
     def rows(self) -> int:
@@ -94,7 +96,7 @@ class Store:
         finally:
             stream.close()
         raw = json.loads(text)
-        made = {n: Collection(c["types"], [Segment(**s) for s in c["segments"]], c["indexes"], c["next_id"]) for n, c in raw["collections"].items()}
+        made = {n: Collection(c["types"], [Segment(**s) for s in c["segments"]], c["indexes"], c["next_id"], c["stats"]) for n, c in raw["collections"].items()}
         return State(version, made, [tuple(x) for x in raw["touched"]])
 
     def publish(self, state: State) -> State:
@@ -117,12 +119,20 @@ class Store:
 
     # Rows.
 
-    def write(self, df: DataFrame) -> Segment:
-        """A new segment; the rows are counted while they are written."""
-        from pyspark.sql import Observation
+    def write(self, df: DataFrame, indexes: list[str] | None = None) -> Segment:
+        """A new segment; the rows are counted while they are written.
 
+        Indexed fields get a Bloom filter in each row group, and rows are
+        ordered by the first of them within a file, so that readers skip more.
+        """
         path, seen = f"{self.root}/seg-{uuid.uuid4().hex}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        indexed = [i for i in indexes or [] if "." not in i and i in df.columns and df.schema[i].dataType.simpleString() in ("double", "string")]
+        if indexed:
+            df = df.sortWithinPartitions(column(indexed[0]))
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
+        for i in indexed:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{i}", "true")
+        writer.parquet(path)
         return Segment(path, seen.get["rows"], {f.name: f.dataType.simpleString() for f in df.schema.fields})
 
     def write_ids(self, ids: DataFrame) -> str:
@@ -161,5 +171,42 @@ class Store:
     def compact(self, c: Collection) -> Collection:
         """The same rows in one segment."""
         out = Collection(dict(c.types), [], list(c.indexes), c.next_id)
-        out.add(self.write(self.frame(c)))
+        out.add(self.write(self.frame(c), c.indexes))
         return out
+
+    def export(self, root: str) -> Store:
+        """A snapshot: the latest state alone, in a store of its own."""
+        other, state = Store(self.spark, root), State()
+        for name, c in self.read().collections.items():
+            made = Collection(dict(c.types), [], list(c.indexes), c.next_id)
+            if c.segments:
+                made.add(other.write(self.frame(c), c.indexes))
+            state.collections[name] = made
+        other.publish(state)
+        return other
+
+    def vacuum(self, horizon: int | None = None) -> dict[str, int]:
+        """Forget the versions before ``horizon`` (the latest) and files that only they name.
+
+        Readers and transactions of older versions must have ended.
+        """
+        head = self.head()
+        horizon = head if horizon is None else min(horizon, head)
+        files, kept = self._files(), set()
+        versions = [v for v in range(1, head + 1) if files.exists(self._manifest(v))]
+        for v in versions:
+            if v >= horizon:
+                state = self.read(v)
+                kept |= {s.path.rsplit("/", 1)[1] for c in state.collections.values() for s in c.segments}
+                kept |= {p.rsplit("/", 1)[1] for p in [*(c.stats for c in state.collections.values()), *(p for _, p in state.touched)] if p}
+        counts = {"versions": 0, "files": 0}
+        for v in versions:
+            if v < horizon:
+                files.delete(self._manifest(v), False)
+                counts["versions"] += 1
+        for f in files.listStatus(self._path()):
+            name = f.getPath().getName()
+            if name.startswith(("seg-", "ids-", "stats-")) and name not in kept:
+                files.delete(f.getPath(), True)
+                counts["files"] += 1
+        return counts

@@ -174,3 +174,35 @@ def test_a_number_is_taken_once(session):
     with pytest.raises(EngineError) as e:
         session.store.publish(b)
     assert e.value.code == "WRITE_CONFLICT" and session.store.head() == a.version + 1
+
+
+def test_statistics_are_kept(session):
+    assert session.statistics("users") is None
+    session.execute("analyze users")
+    rows = {r["field"]: r for r in Session(session.spark, session.store.root).statistics("users").collect()}
+    assert (rows["age"]["low"], rows["age"]["high"], rows["city"]["distinct"]) == (18.0, 30.0, 3)
+
+
+def test_export_and_vacuum(session, tmp_path):
+    session.execute("analyze users")
+    session.execute('cochin users haar name $bg "Bob" $quy age 26')
+    other = Session(session.spark, session.store.export(f"file://{tmp_path}/copy").root)
+    assert names(other, "haar age $bg 26") == ["Bob"]
+    done = session.store.vacuum()
+    assert done["versions"] == session.store.head() - 1 and done["files"] == 1
+    assert names(session, "") == ["Alice", "Bob", "Carol", "Dave"] and session.statistics("users").count() > 0
+    assert session.store.vacuum() == {"versions": 0, "files": 0}
+
+
+def test_indexed_fields_get_bloom_filters(session, tmp_path):
+    import glob
+
+    session.execute("madecoidu users.name")
+    session.compact("users")
+    c = session.store.read().collections["users"]
+    parts = glob.glob(c.segments[0].path.removeprefix("file://") + "/*.parquet")
+    jvm = session.spark._jvm
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(session.spark._jsc.hadoopConfiguration(), jvm.org.apache.hadoop.fs.Path(parts[0]))
+    columns = reader.getFooter().getBlocks().get(0).getColumns()
+    assert [x.getPath().toDotString() for x in columns if x.getBloomFilterOffset() >= 0] == ["name"]
+    assert names(session, 'haar name $bg "Bob"') == ["Bob"]
