@@ -31,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Spans, the candidate classifier and the query agree on this share.
 THRESHOLD = 0.9
 MOST_BEFORE = 32
+BLOCK = 128
 
 # The base patterns of the kinds; (?<!..)|\G begins at a run's start or where the last match ended.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -56,10 +57,25 @@ CUES = {
 AGAINST = {"email": "example of", "ip": r"version|release|\bv\b", "card": r"isbn|order|serial|\bsku\b|invoice|token|hash", "phone": r"isbn|order|serial|\bsku\b|version"}
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)``, the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """The items in runs of BLOCK, so that what is built up run by run isn't copied for each item."""
+
+    def cut(x: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(x) / BLOCK).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(x, k * BLOCK + 1, F.lit(BLOCK)))
+
+    return _with(items, cut)
+
+
 def _spans(text: Column, pattern: str, where: Column, kind: int, strict: bool) -> Column:
     """array<struct<start, kind, end, form, before, strict>> of the matches of a pattern, in order."""
     parts, forms = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,form:string,before:string,strict:boolean>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,form:string,before:string,strict:boolean>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["part"])
@@ -68,9 +84,14 @@ def _spans(text: Column, pattern: str, where: Column, kind: int, strict: bool) -
         span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["form"].alias("form"), before.alias("before"), F.lit(strict).alias("strict"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
+    def run(done: Column, block: Column) -> Column:
+        start = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("out"))
+        return F.concat(done, F.array(F.aggregate(block, start, step)))
+
     pairs = F.zip_with(F.slice(parts, 1, F.size(forms)), forms, lambda p, f: F.struct(p.alias("part"), f.alias("form")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,form:string,before:string,strict:boolean>>")
-    return F.when(where, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
+    begin = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
+    found = F.aggregate(_blocks(pairs), begin, run, lambda done: F.flatten(F.transform(done, lambda x: x["out"])))
+    return F.when(where, found).otherwise(none)
 
 
 def _digits(form: Column) -> Column:
@@ -192,8 +213,13 @@ def decide(found: Column, model: dict[tuple[int, str], float], threshold: float
     """
     good = [f"{k}{v}" for (k, v), p in sorted(model.items()) if p >= threshold and v[:3].count("y") > v[:3].count("n")]
     base = F.filter(found, lambda s: s["base"])
-    more = F.filter(found, lambda s: ~s["base"] & F.concat(s["kind"].cast("string"), s["votes"]).isin(*good) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))) if good else F.slice(found, 1, 0)
-    return F.sort_array(F.concat(base, more))
+    if not good:
+        return base
+    more = F.filter(found, lambda s: ~s["base"] & F.concat(s["kind"].cast("string"), s["votes"]).isin(*good))
+    cells = lambda spans: F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))
+    shared = F.array_intersect(cells(base), cells(more))  # code points of both, hardly ever any
+    free = _with(shared, lambda x: F.filter(more, lambda s: ~F.exists(x, lambda c: (s["start"] <= c) & (c < s["end"]))))
+    return F.sort_array(F.concat(base, free))
 
 
 def _kind_name(k: Column) -> Column:
@@ -206,15 +232,28 @@ def as_text(spans: Column) -> Column:
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with ``[KIND]`` for each span; overlapping spans become one, under the first one's name."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    none = F.array().cast("array<string>")
 
     def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
+        between = F.substring(acc["here"], acc["at"] - acc["from"] + 1, s["start"] - acc["at"])
         piece = F.concat(between, F.lit("["), F.upper(_kind_name(s["kind"])), F.lit("]"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-
-    whole = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text))))
+        late = s["start"] >= acc["at"]
+        return F.struct(
+            F.greatest(acc["at"], s["end"]).alias("at"),
+            F.when(late, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"),
+            acc["from"].alias("from"),
+            acc["here"].alias("here"),
+        )
+
+    def run(done: Column, block: Column) -> Column:
+        at = F.element_at(done, -1)["at"]
+        upto = F.greatest(F.coalesce(F.array_max(F.transform(block, lambda s: s["end"])), F.lit(0)), at)
+        start = F.struct(at.alias("at"), none.alias("out"), at.alias("from"), F.substring(text, at + 1, upto - at).alias("here"))
+        return F.concat(done, F.array(F.aggregate(block, start, step, lambda acc: F.struct(acc["at"].alias("at"), F.array_join(acc["out"], "").alias("out")))))
+
+    begin = F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("out")))
+    rest = lambda done: F.substring(text, F.element_at(done, -1)["at"] + 1, F.char_length(text))
+    whole = F.aggregate(_blocks(spans), begin, run, lambda done: F.concat(F.array_join(F.transform(done, lambda x: x["out"]), ""), rest(done)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
