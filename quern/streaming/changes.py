@@ -44,26 +44,46 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, late: str) -> Data
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def _compacted_upto(spark: SparkSession, path: str) -> int | None:
+    """The last level that a finished compaction holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-compacted")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    done = [f.getPath() for f in files.listStatus(folder)]
+    done = [p for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max((int(p.getName().removeprefix("upto=")) for p in done), default=None)
+
+
+def _levels(spark: SparkSession, path: str) -> DataFrame:
+    """The last compaction and the levels after it."""
+    upto, levels = _compacted_upto(spark, path), spark.read.parquet(path)
+    if upto is None:
+        return levels.drop("level")
+    older = spark.read.parquet(f"{path}-compacted/upto={upto}")
+    return older.unionByName(levels.where(F.col("level") > upto).drop("level"))
+
+
 def merge_into(stream: DataFrame, path: str, key: str, seq: str, gone: str, checkpoint: str, every: int = 10) -> StreamingQuery:
     """Keep a log-structured table: each batch is a level, every few batches they are merged.
 
     A batch writes under its own number, so one that is repeated after a
-    failure replaces itself. ``gone`` is an SQL condition for deletions.
+    failure replaces itself. ``gone`` is an SQL condition for deletions; their
+    rows stay in compactions, as older levels may come late.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/level={number}")
         if number and number % every == 0:
-            whole = spark.read.option("recursiveFileLookup", "true").parquet(path)
-            merged(whole, key, seq, F.expr(gone), keep_tombstones=True).write.mode("overwrite").parquet(f"{path}-compacted/upto={number}")
+            merged(_levels(spark, path), key, seq, F.expr(gone), keep_tombstones=True).write.mode("overwrite").parquet(f"{path}-compacted/upto={number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def merged_table(spark: SparkSession, path: str, key: str, seq: str, gone: str) -> DataFrame:
     """The current rows of such a table."""
-    return merged(spark.read.option("recursiveFileLookup", "true").parquet(path), key, seq, F.expr(gone))
+    return merged(_levels(spark, path), key, seq, F.expr(gone))
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
