@@ -75,7 +75,7 @@ def resolve(responses: DataFrame, revisits: DataFrame, chunks: int = CHUNKS) ->
     spans = both.where("kind = 0").select("url", "chunk").distinct().join(lasts, ["url", "chunk"], "full")
     earlier = Window.partitionBy("url").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select("url", "chunk", F.last("last", ignorenulls=True).over(earlier).alias("far")).where("far is not null")
-    met = seen.where("kind = 0").join(carried, ["url", "chunk"], "left").withColumn("hit", F.coalesce("near", "far"))
+    met = seen.where("kind = 0").join(carried, ["url", "chunk"], "left").withColumn("hit", F.when(F.col("time").isNotNull(), F.coalesce("near", "far")))
     had, got = F.col("hit.headers"), F.col("headers")
     tag, date = F.get(F.map_values(F.map_filter(got, lambda k, _: k == "etag")), F.lit(0)), F.get(F.map_values(F.map_filter(got, lambda k, _: k == "last-modified")), F.lit(0))
     had_tag, had_date = F.try_element_at(had, F.lit("etag")), F.try_element_at(had, F.lit("last-modified"))
@@ -86,6 +86,43 @@ def resolve(responses: DataFrame, revisits: DataFrame, chunks: int = CHUNKS) ->
     return out.select("id", "url", "time", "status", F.when(resolved, F.col("hit.id")).alias("response_id"), F.when(resolved, F.col("hit.time")).alias("response_time"), F.when(resolved, merged_headers(had, got)).alias("headers"))
 
 
+def header_map(block: Column) -> Column:
+    """The fields of an HTTP or WARC header block: names lower-cased, of a name that repeats the last value.
+
+    The block ends at the first empty line; its first line is no field. A line
+    that begins with a space continues the one before.
+    """
+    head = F.regexp_extract(F.coalesce(block, F.lit("")), r"(?s)^(.*?)(?:\r?\n\r?\n|$)", 1)
+    lines = F.split(F.regexp_replace(F.regexp_replace(head, r"\r\n", "\n"), r"\n[\t ]+", " "), "\n")
+    fields = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.instr(x, ":") > 1)
+    pairs = F.transform(fields, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_extract(x, r"(?s)^[^:]*:(.*)$", 1)).alias("value")))
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+def from_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Responses and revisits for ``resolve`` from WARC records.
+
+    records: id long, warc (the record's header block) and http (that of its
+    payload). A response counts as full unless its status is 304; a revisit
+    counts if its profile is server-not-modified or its status 304. Times are
+    microseconds of WARC-Date.
+    """
+    status = F.regexp_extract("http", r"^HTTP/[0-9.]+ ([0-9]{3})", 1)
+    seen = records.select("id", header_map(F.col("warc")).alias("w"), header_map(F.col("http")).alias("headers"), status.alias("status"))
+    of = lambda name: F.try_element_at(F.col("w"), F.lit(name))
+    made = seen.select(
+        "id",
+        canonical_url(F.regexp_replace(of("warc-target-uri"), r"^<|>$", "")).alias("url"),
+        F.unix_micros(F.try_to_timestamp(of("warc-date"))).alias("time"),
+        "headers",
+        F.lower(of("warc-type")).alias("type"),
+        F.coalesce(F.contains(of("warc-profile"), F.lit("server-not-modified")) | (F.col("status") == "304"), F.lit(False)).alias("unmodified"),
+    )
+    shape = ("id", "url", "time", "headers")
+    return made.where("type = 'response' and not unmodified").select(*shape), made.where("type = 'revisit' and unmodified").select(*shape)
+
+
 #: The crawl that the query makes of ``pages``: each page is a full response at
 #: twice its id, and is asked for again LAG captures later with its validators.
 LAG = 5000

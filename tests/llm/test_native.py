@@ -129,6 +129,27 @@ def test_canonical_urls(spark, url, want):
     assert spark.createDataFrame([(url,)], "u string").select(op2_revisits.canonical_url(F.col("u"))).first()[0] == want
 
 
+def test_warc_records(spark):
+    def record(ident, kind, date, http, more=""):
+        return ident, f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Target-URI: <http://WWW.a.org/x/#f>\r\nWARC-Date: {date}\r\n{more}\r\n", http
+
+    profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/server-not-modified\r\n"
+    rows = [
+        record(1, "response", "2024-01-01T00:00:00Z", 'HTTP/1.1 200 OK\r\nETag: "a"\r\nX-Long: one\r\n two\r\nContent-Length: 9\r\nVary: x\r\nVary: y\r\n\r\nbody: no field'),
+        record(2, "revisit", "2024-01-02T00:00:00Z", 'HTTP/1.1 304 Not Modified\nETag: W/"a"\nAge: 5\n', profile),
+        record(3, "revisit", "2023-12-31T00:00:00Z", "HTTP/1.1 304 Not Modified\r\n\r\n", profile),
+        record(4, "response", "2024-01-01T12:00:00Z", "HTTP/1.1 304 Not Modified\r\n\r\n"),
+        record(5, "request", "2024-01-01T12:00:00Z", None),
+        record(6, "revisit", "no date", "HTTP/1.1 304 Not Modified\r\nETag: \"a\"", profile),
+        (7, None, None),
+    ]
+    responses, revisits = op2_revisits.from_records(spark.createDataFrame(rows, "id long, warc string, http string"))
+    assert [r["id"] for r in responses.collect()] == [1]
+    got = {r["id"]: r for r in op2_revisits.resolve(responses, revisits).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {2: "resolved", 3: "orphan", 6: "orphan"}
+    assert got[2]["headers"] == {"etag": 'W/"a"', "x-long": "one two", "content-length": "9", "vary": "y", "age": "5"} and got[2]["url"] == "www.a.org/x"
+
+
 # 4
 
 
