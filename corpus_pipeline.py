@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quern.llm import op3_mixing, op6_pii, op7_toxicity, op8_near_dedup, op9_decontaminate
-from quern.llm.common import materialize, table
+from quern.llm.common import free_name, materialize, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +34,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return left
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    one = left.join(again, "doc_id", "left_semi").select(docs.columns).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    sortable = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    nth = free_name(docs, "nth")
+    ranked = left.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy(*sortable)))
+    one = ranked.where(F.col(nth) == 1).select(docs.columns)
     return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
 
 

@@ -35,6 +35,19 @@ def test_rows_that_share_an_id(spark):
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 1, 2]
 
 
+def test_stages_keep_other_columns(spark, small):
+    base = table(spark, small, "documents")
+    odd = base.withColumns({"score": F.lit("x"), "leaks": F.lit(2), "nth": F.create_map(F.lit("a"), F.lit(1)), "found": F.col("lang")})
+    odd = odd.unionByName(odd.limit(3)).withColumns({"source": F.when(F.col("doc_id") % 3 > 0, F.col("source")), "text": F.when(F.col("doc_id") % 50 > 0, F.col("text"))})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, small)
+        assert out.columns == odd.columns
+        odd = materialize(out, "odd")
+    assert set(r["found"] for r in odd.select("found").distinct().collect()) <= {"en", "de", "fr", "es"}
+    mixed = corpus_pipeline.mixing(spark, odd, small)
+    assert mixed.count() == odd.count()
+
+
 def test_empty_corpus(spark, small):
     docs = table(spark, small, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
