@@ -13,7 +13,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     """A new path under spark.checkpoint.dir; a local one only in local mode without it."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + os.path.join(tempfile.gettempdir(), "quern-scratch")
     return f"{there}/quern/{label}-{uuid.uuid4().hex}"
