@@ -52,7 +52,15 @@ def histogram(df: DataFrame, name: str, buckets: int = HISTOGRAM, ranges: int =
     """
     counts = df.where(field(name).isNotNull()).groupBy(field(name).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     marks = df.agg(F.percentile_approx(field(name).cast("double"), [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
-    at = F.size(F.filter(F.lit(sorted(set(marks))), lambda m: m < F.col("value"))) if marks else F.lit(0)
+    marks = sorted(set(marks))
+
+    def range_of(lo: int, hi: int) -> Column:  # the number of marks below the value, by halves
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(F.col("value") > marks[middle], range_of(middle + 1, hi)).otherwise(range_of(lo, middle))
+
+    at = range_of(0, len(marks))
     placed = counts.withColumn("at", at)
     before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     bases = placed.groupBy("at").agg(F.sum("n").alias("n")).select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
