@@ -29,7 +29,7 @@ from .bigru import Model, train
 from .common import small_batches, table
 
 TRAIN_TOXIC, TRAIN_CLEAN = 1000, 2400
-TRAIN_CHARS = 16_000_000
+TRAIN_CHARS = 8_000_000
 THRESHOLD = 0.7
 SEED = 11
 
