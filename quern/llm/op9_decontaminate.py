@@ -1,26 +1,31 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by Smith-Waterman alignment behind an exact filter.
 
-Words here are runs of letters and digits, lower-cased. The word n-grams of the
-benchmark items are counted over all documents, and the rarer half of each
-item's n-grams (``SEEDS`` at least) are its seeds, so that an item that many
-documents copy still has some. Where a document holds a seed, the stretch
-around it that the item could cover is aligned with the item, word by word
-(match 2, other -1, gap -1), and the best score as a share of the item's full
-score says how much of it is there, whatever was put in, left out or replaced.
+Words here are runs of letters and digits, lower-cased. The best local alignment
+of a document with an item, word by word (match 2, other -1, gap -1), as a share
+of the item's full score says how much of the item is there, whatever was put
+in, left out or replaced. An item is found if the share is ``threshold`` or more
+and the score that of three words in a row (of the whole item, if it is shorter).
+An item of one or two words is so found wherever its words stand in a row.
+
+The filter loses nothing: a stretch of a document scores at most 2 for each word
+that the item has too, less 1 for each other. The words that most items share
+are left out of this sum and each counts as found, 3 more than another word;
+where the best sum of a stretch could still reach the least score, all that a
+copy there could span is aligned. Common words cost time only, never a find.
 
 The benchmark is the stated query set: it comes in blocks of ``BLOCK_WORDS``
 words, each of which goes to all tasks, and each block is held against all
-documents. Texts are read where they lie; only seed counts are shuffled.
+documents. Texts are read once, where they lie; nothing is shuffled. The work
+grows with the words of the texts times the items that share them.
 
-A null or empty text holds nothing; an item without words matches nothing and
-an item of fewer words than a seed has its whole sequence as seed. Items with
-equal texts are found each under its own id. Rows and columns of the documents
-stay as they are, repeated rows too; a column named ``leaks`` is replaced.
+A null or empty text holds nothing; an item without words matches nothing.
+Items with equal texts are found each under its own id. Rows and columns of the
+documents stay as they are, repeated rows too; a column named ``leaks`` is
+replaced.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +38,12 @@ from .bigru import _SEPARATORS
 from .common import small_batches, table
 from .words import Batch, pieces
 
+#: A copy scores at least what so many words in a row (or the whole of a shorter item) do.
 GRAM = 3
-SEEDS = 8
+#: Of the least score of a copy, the share of words that the filter leaves out.
+LEFT_OUT = 3 / 16
+#: Words of texts times items with them that the filter holds at once.
+HITS = 1 << 20
 #: Clean documents score 0 to 0.3; a copy with every third word replaced 0.5.
 THRESHOLD = 0.4
 MATCH, OTHER, GAP = 2, -1, -1
@@ -45,34 +54,115 @@ LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("scor
 
 
 class Items:
-    """The words of a block of items and their n-grams."""
+    """The words of a block of items, and which of them hold each word.
+
+    ``least`` is the raw score that a copy reaches at least, ``reach`` the words
+    it spans at most, ``enough`` what its kept words score at least.
+    """
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], threshold: float = THRESHOLD):
         batch = Batch(texts, _SEPARATORS)
-        self.ids, self.words, self.at = ids, batch.words, batch.at
-        grams, bounds = batch.shingles(GRAM)
-        self.grams = grams
-        self.item = np.repeat(np.arange(len(ids)), np.diff(bounds))
-        self.place = np.arange(len(grams)) - np.repeat(bounds[:-1], np.diff(bounds))
+        self.ids, self.at = ids, batch.at
+        self.vocabulary, self.words = np.unique(batch.words, return_inverse=True)
+        long = np.diff(batch.at)
+        self.least = np.maximum(np.floor(threshold * MATCH * long).astype(np.int64), MATCH * np.minimum(GRAM, long))
+        self.reach = np.maximum(0, (MATCH - OTHER) * long - self.least)
+        item = np.repeat(np.arange(len(ids)), long)
+        pair, many = np.unique(self.words * max(1, len(ids)) + item, return_counts=True)
+        word, item = np.divmod(pair, max(1, len(ids)))
+        shared = np.bincount(word, minlength=len(self.vocabulary))
+        order = np.lexsort((word, -shared[word], item))
+        upto = np.cumsum(many[order])
+        first = np.searchsorted(item[order], np.arange(len(ids)))
+        upto -= np.concatenate(([0], upto))[first][item[order]]
+        keep = np.empty(len(pair), bool)
+        keep[order] = upto > (self.least * LEFT_OUT).astype(np.int64)[item[order]]
+        left_out = np.bincount(item[~keep], many[~keep], len(ids)).astype(np.int64)
+        self.enough = self.least - (MATCH - OTHER) * left_out
+        self.word, self.item = word[keep], item[keep]
 
     def of(self, k: int) -> np.ndarray:
         return self.words[self.at[k] : self.at[k + 1]]
 
-    def seeds(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash (ascending), item and place of the seeds, rarer n-grams only."""
-        seen = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)])
-        order = np.lexsort((self.place, seen, self.item))
-        rank = np.empty(len(order), np.int64)
-        first = np.concatenate(([0], np.cumsum(np.bincount(self.item, minlength=len(self.ids)))))
-        rank[order] = np.arange(len(order)) - first[self.item[order]]
-        keep = rank < np.maximum(SEEDS, -(-np.diff(first) // 2))[self.item]
-        by_hash = np.argsort(self.grams[keep], kind="stable")
-        return self.grams[keep][by_hash], self.item[keep][by_hash], self.place[keep][by_hash]
-
-
-def _grams_of(texts: list[str | None], short: bool) -> tuple[Batch, np.ndarray, np.ndarray]:
-    batch = Batch(texts, _SEPARATORS)
-    return batch, *batch.shingles(GRAM, whole=short)
+    def near(self, batch: Batch, ids: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Text, item, first word and end (exclusive) of all stretches that may hold a copy; ``ids`` are words in the vocabulary or -1."""
+        at = np.flatnonzero(ids >= 0)
+        per_word = np.bincount(ids[at], minlength=len(self.vocabulary))
+        per_item = np.bincount(self.item, per_word[self.word], len(self.ids)).astype(np.int64)
+        group = np.cumsum(per_item) // HITS
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
+        out: list[tuple[int, int, int, int]] = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            some = (self.item >= lo) & (self.item < hi)
+            out += self._near(batch, at, ids[at], self.word[some], self.item[some])
+        return out
+
+    def _near(self, batch: Batch, at: np.ndarray, ids: np.ndarray, word: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int, int]]:
+        first = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+        many = (first[1:] - first[:-1])[ids]
+        at, ids, many = at[many > 0], ids[many > 0], many[many > 0]
+        if not len(at):
+            return []
+        ends = np.cumsum(many)
+        held = item.astype(np.min_scalar_type(len(self.ids)))[np.repeat(first[ids] - ends + many, many) + np.arange(ends[-1])]
+        order = np.argsort(held, kind="stable")
+        held = held[order]
+        # Texts and items are so far apart that no sum goes over from one to the next.
+        text = np.searchsorted(batch.at, at, "right") - 1
+        apart = (MATCH - OTHER) * (len(batch.words) + 1)
+        place = np.repeat(at + text * apart, many)[order]
+        step = np.full(len(place), (len(batch.at) + 1) * apart)
+        np.subtract(place[1:], place[:-1], out=step[1:], where=held[1:] == held[:-1])
+        total = np.cumsum((MATCH - OTHER) + OTHER * step)
+        best = total - np.minimum.accumulate(total - MATCH)
+        hits = np.flatnonzero(best >= self.enough[held])
+        if not len(hits):
+            return []
+        held, place = held[hits].astype(np.int64), place[hits]
+        text, where = np.divmod(place, apart)
+        new = (held[1:] != held[:-1]) | (text[1:] != text[:-1]) | (where[1:] - where[:-1] > 2 * self.reach[held[1:]])
+        a, z = np.concatenate(([0], np.flatnonzero(new) + 1)), np.concatenate((np.flatnonzero(new), [len(hits) - 1]))
+        text, held = text[a], held[a]
+        begin = np.maximum(batch.at[text], where[a] - self.reach[held])
+        end = np.minimum(batch.at[text + 1], where[z] + self.reach[held] + 1)
+        return list(zip(text.tolist(), held.tolist(), begin.tolist(), end.tolist(), strict=True))
+
+
+def best_scores(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Best raw local scores of (item, stretch) words, numbers from 0 on; a word of -1 equals none."""
+    out = np.zeros(len(pairs), np.int64)
+    # Pairs of about one width together, as all of a piece are padded to its widest.
+    about = [int(2 * np.log2(len(y) + 1)) for _, y in pairs]
+    order = sorted(range(len(pairs)), key=lambda k: (about[k], len(pairs[k][0])))
+    a = 0
+    while a < len(order):
+        b, wide = a, 1
+        while b < len(order) and about[order[b]] == about[order[a]] and (b == a or (b + 1 - a) * max(wide, len(pairs[order[b]][1])) <= CELLS >> 7):
+            wide = max(wide, len(pairs[order[b]][1]))
+            b += 1
+        some = order[a:b]
+        tall = len(pairs[some[-1]][0])
+        kind = np.int16 if wide + (MATCH + 1) * tall < 32000 else np.int32
+        items, others = np.full((tall, len(some)), -2, np.int32), np.full((wide, len(some)), -1, np.int32)
+        for n, k in enumerate(some):
+            items[: len(pairs[k][0]), n] = pairs[k][0]
+            others[: len(pairs[k][1]), n] = pairs[k][1]
+        slope = (np.arange(wide, dtype=kind) * kind(-GAP))[:, None]
+        above, most = np.zeros((wide + 1, len(some)), kind), np.zeros((wide, len(some)), kind)
+        for row in items:
+            here = (others == row) * kind(MATCH - OTHER)
+            here += above[:-1]
+            here += kind(OTHER)
+            np.maximum(here, above[1:] + kind(GAP), out=here)
+            np.maximum(here, 0, out=here)
+            here += slope
+            np.maximum.accumulate(here, axis=0, out=here)
+            here -= slope
+            np.maximum(most, here, out=most)
+            above[1:] = here
+        out[some] = most.max(axis=0)
+        a = b
+    return out
 
 
 def _align(items: np.ndarray, long: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,81 +219,39 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int,
     return out
 
 
-def _stretches(places: list[int], long: int, words: int) -> list[tuple[int, int]]:
-    """Where an item of ``long`` words may lie whose starts are guessed at ``places``; merged."""
-    slack = 2 + long // 2
-    out: list[list[int]] = []
-    for p in sorted(set(places)):
-        lo, hi = max(0, p - slack), min(words, p + long + slack)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
-def _leaks(texts: list[str | None], items: Items, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: float) -> list[list[tuple]]:
-    keys, item_of, place_of = seeds
-    batch, grams, bounds = _grams_of(texts, True)
+def _leaks(texts: list[str | None], items: Items, threshold: float) -> list[list[tuple]]:
     found: list[list[tuple]] = [[] for _ in texts]
-    if not len(keys):
+    if not len(items.vocabulary):
         return found
-    lo, hi = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
-    hits = np.flatnonzero(hi > lo)
-    guesses: dict[tuple[int, int], list[int]] = defaultdict(list)
-    for g, d in zip(hits, np.searchsorted(bounds, hits, "right") - 1, strict=True):
-        for s in range(lo[g], hi[g]):
-            guesses[int(d), int(item_of[s])].append(int(g - bounds[d] - place_of[s]))
-    work, pairs = [], []
-    for (d, k), places in guesses.items():
-        a, b = batch.at[d], batch.at[d + 1]
-        for x, y in _stretches(places, len(items.of(k)), b - a):
-            work.append((d, k, x))
-            pairs.append((items.of(k), batch.words[a + x : a + y]))
+    batch = Batch(texts, _SEPARATORS)
+    ids = np.minimum(np.searchsorted(items.vocabulary, batch.words), len(items.vocabulary) - 1)
+    ids = np.where(items.vocabulary[ids] == batch.words, ids, -1)
+    near = items.near(batch, ids)
+    some = best_scores([(items.of(k), ids[x:y]) for _, k, x, y in near])
+    work = [w for w, score in zip(near, some, strict=True) if score >= items.least[w[1]]]
     best: dict[tuple[int, int], tuple] = {}
-    for (d, k, x), (score, first, end) in zip(work, align(pairs), strict=True):
+    for (d, k, x, _), (score, first, end) in zip(work, align([(items.of(k) + 1, ids[x:y] + 1) for _, k, x, y in work]), strict=True):
         if score >= threshold and score > best.get((d, k), (0,))[0]:
             best[d, k] = (score, x + first, x + end)
     for (d, k), (score, first, end) in best.items():
         data = (texts[d] or "").encode("utf-8", "surrogatepass")
-        a, z = int(batch.begin[batch.at[d] + first] - batch.offset[d]), int(batch.end[batch.at[d] + end - 1] - batch.offset[d])
+        a, z = int(batch.begin[first] - batch.offset[d]), int(batch.end[end - 1] - batch.offset[d])
         start = len(data[:a].decode("utf-8", "surrogatepass"))
         found[d].append((items.ids[k], score, start, start + len(data[a:z].decode("utf-8", "surrogatepass"))))
     return [sorted(x) for x in found]
 
 
-def _counts(docs: DataFrame, text: str, items: Items) -> dict[int, int]:
-    """Number of documents with each n-gram of the block; no more rows than it has n-grams."""
-    keys = np.unique(items.grams)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, texts in pieces((None, t.as_py()) for t in batch.column(0)):
-                _, grams, bounds = _grams_of(texts, True)
-                at = np.minimum(np.searchsorted(keys, grams), max(0, len(keys) - 1))
-                hit = np.flatnonzero(keys[at] == grams) if len(keys) else np.zeros(0, np.int64)
-                doc = np.searchsorted(bounds, hit, "right") - 1
-                pairs = np.unique(doc * len(keys) + at[hit])
-                total += np.bincount(pairs % len(keys), minlength=len(keys)) if len(keys) else 0
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["gram", "n"])
-
-    counted = docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in counted.collect()}
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, threshold: float) -> Iterator[Items]:
     ids, texts, size = [], [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct().orderBy("item_id", "text").toLocalIterator():
         ids.append(row["item_id"])
         texts.append(row["text"])
         size += len(row["text"]) // 4 + 1
         if size >= BLOCK_WORDS:
-            yield Items(ids, texts)
+            yield Items(ids, texts, threshold)
             ids, texts, size = [], [], 0
     if ids:
-        yield Items(ids, texts)
+        yield Items(ids, texts, threshold)
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -212,16 +260,15 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thresh
     out = docs.drop("leaks").withColumn("leaks", F.array().cast(T.ArrayType(LEAK)))
     at = out.columns.index(text)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
-    for items in _blocks(benchmark):
-        seeds = items.seeds(_counts(docs, text, items))
+    for items in _blocks(benchmark, threshold):
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, seeds: tuple = seeds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for a in range(0, whole.num_rows, 1024):
                     batch = whole.slice(a, 1024)
                     new: list[list[tuple]] = []
                     for _, texts in pieces((None, t.as_py()) for t in batch.column(at)):
-                        new += _leaks(texts, items, seeds, threshold)
+                        new += _leaks(texts, items, threshold)
                     old = batch.column(batch.num_columns - 1).to_pylist()
                     both = [o + [dict(zip(("item_id", "score", "start", "end"), x, strict=True)) for x in n] for o, n in zip(old, new, strict=True)]
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, kind)], names=batch.schema.names)

@@ -345,6 +345,46 @@ def test_leaks_whole_edited_and_absent(spark):
     assert op9_decontaminate.with_leaks(df, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+def test_leaks_equal_alignment_of_all_with_all(spark):
+    """Copies with half of their 3-grams broken too, whether a whole copy is elsewhere or not, and items of one and two words."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(150)] + ["the", "of", "and"] * 40
+    pick = lambda n: list(rng.choice(vocabulary, n))
+    items = [pick(n) for n in (30, 24, 18, 15, 9, 5, 3, 2, 1)] + [["the"] * 20]
+    rows = []
+    for i, item in enumerate(items):
+        copies = [item, item[: len(item) // 2], [f"new{k}" if k % 5 == 2 else w for k, w in enumerate(item)], [x for k, w in enumerate(item) for x in ([w, f"in{k}"] if k % 2 else [w])], [x for w in item for x in (w, "put")]]
+        copies += [[w if rng.random() > p else "new" for w in item if rng.random() > p / 2] for p in (0.1, 0.2, 0.3, 0.4)]
+        rows += [(100 * i + k, " ".join(pick(20) + c + pick(20)), "s") for k, c in enumerate(copies) if k or i % 2]
+    want = {}
+    for d, text, _ in rows:
+        for k, item in enumerate(items):
+            score = smith_waterman(item, text.split())
+            if score >= max(0.8 * len(item), 2 * min(3, len(item))):
+                want[d, k] = score / (2 * len(item))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = op9_decontaminate.with_leaks(docs(spark, rows), bench).select("doc_id", F.inline("leaks")).collect()
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == want and len(got) == len(want)
+    assert all({(100 * i + 2, i), (100 * i + 3, i), (100 * i + 4, i)} <= set(want) for i in range(3))
+
+
+def test_fast_scores_equal_the_textbook(monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [(rng.integers(0, 5, rng.integers(1, 20)), rng.integers(-1, 5, rng.integers(1, 60))) for _ in range(150)] + [(np.zeros(9, int), np.zeros(33_000, int))]
+    want = [smith_waterman(a, b) for a, b in pairs[:-1]] + [18]
+    assert op9_decontaminate.best_scores(pairs).tolist() == want
+    monkeypatch.setattr(op9_decontaminate, "CELLS", 1 << 13)
+    assert op9_decontaminate.best_scores(pairs).tolist() == want and not len(op9_decontaminate.best_scores([]))
+
+
+def test_hits_in_pieces_give_the_same(spark, small, monkeypatch):
+    items = op9_decontaminate.Items(*map(list, zip(*((r["item_id"], r["text"]) for r in table(spark, small, "benchmark").collect()), strict=True)))
+    texts = [r["text"] for r in table(spark, small, "documents").collect()]
+    whole = op9_decontaminate._leaks(texts, items, 0.4)
+    monkeypatch.setattr(op9_decontaminate, "HITS", 1000)
+    assert any(whole) and op9_decontaminate._leaks(texts, items, 0.4) == whole
+
+
 def test_blocks_of_items_give_the_same(spark, small, monkeypatch):
     whole = sorted(op9_decontaminate.query(spark, small).collect())
     assert whole
