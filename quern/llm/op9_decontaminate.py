@@ -44,7 +44,8 @@ GRAM = 3
 LEFT_OUT = 3 / 16
 #: Words of texts times items with them that the filter holds at once.
 HITS = 1 << 20
-#: Clean documents score 0 to 0.3; a copy with every third word replaced 0.5.
+#: Clean documents score 0 to 0.3; a copy with every third word replaced 0.5,
+#: though no three of its words in a row are the item's.
 THRESHOLD = 0.4
 MATCH, OTHER, GAP = 2, -1, -1
 BLOCK_WORDS = 1 << 20

@@ -368,6 +368,14 @@ def test_leaks_equal_alignment_of_all_with_all(spark):
     assert all({(100 * i + 2, i), (100 * i + 3, i), (100 * i + 4, i)} <= set(want) for i in range(3))
 
 
+def test_copies_with_every_third_word_replaced():
+    rng = np.random.default_rng(5)
+    items = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in rng.integers(15, 60, 40)]
+    texts = [" ".join(["pad"] * 20 + [f"new{k}" if k % 3 == 2 else w for k, w in enumerate(item)] + ["pad"] * 20) for item in items]
+    block = op9_decontaminate.Items(list(range(40)), [" ".join(w) for w in items])
+    assert [[x[0] for x in found] for found in op9_decontaminate._leaks(texts, block, op9_decontaminate.THRESHOLD)] == [[k] for k in range(40)]
+
+
 def test_fast_scores_equal_the_textbook(monkeypatch):
     rng = np.random.default_rng(3)
     pairs = [(rng.integers(0, 5, rng.integers(1, 20)), rng.integers(-1, 5, rng.integers(1, 60))) for _ in range(150)] + [(np.zeros(9, int), np.zeros(33_000, int))]
