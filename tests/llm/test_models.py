@@ -376,6 +376,12 @@ def test_copies_with_every_third_word_replaced():
     assert [[x[0] for x in found] for found in op9_decontaminate._leaks(texts, block, op9_decontaminate.THRESHOLD)] == [[k] for k in range(40)]
 
 
+def test_items_of_one_and_two_words_are_found_within_documents():
+    block = op9_decontaminate.Items([1, 2], ["Rare!", "two words"])
+    found = op9_decontaminate._leaks(["a rare thing here", "so two words more", "two other words", "two words", ""], block, 0.4)
+    assert found == [[(1, 1.0, 2, 6)], [(2, 1.0, 3, 12)], [], [(2, 1.0, 0, 9)], []]
+
+
 def test_fast_scores_equal_the_textbook(monkeypatch):
     rng = np.random.default_rng(3)
     pairs = [(rng.integers(0, 5, rng.integers(1, 20)), rng.integers(-1, 5, rng.integers(1, 60))) for _ in range(150)] + [(np.zeros(9, int), np.zeros(33_000, int))]
