@@ -1,8 +1,11 @@
 """License scans by sentence rules (native).
 
-A text is cut into sentences at line ends and after . ! ? ; : before a space.
-A sentence, lower-cased and with everything but letters and digits made single
-spaces, is looked up among the known licence sentences; others are ``-``. The
+A text is cut after . ! ? ; : before a space or line end and at lines without
+letters and digits. Any other line end may part two sentences or wrap one: a
+known sentence, lower-cased and with everything but letters and digits (comment
+marks too) made single spaces, can go over any number of lines, from the start
+of one to the end of one. Of two known ones that begin in one place the longer is
+taken; lines between that are no part of one are one unknown sentence, ``-``. The
 identifiers of a text, in order, make a line on which the ordered rules are
 matched: a rule's identifiers follow one another with at most ``GAP`` unknown
 sentences between two. Matches are the leftmost ones, and of the rules that
@@ -11,6 +14,9 @@ begin at one place the longest wins.
 Only a text with one of the cue words can hold a known sentence; the others are
 not cut up. Null and empty texts, and texts without licence sentences, give a
 row without findings. Repeated rows each give a row.
+
+``ORACLE_SQL`` cuts at every line end. It says the same for texts whose notices
+have each sentence on one line and no unknown sentence of more lines between.
 """
 
 from __future__ import annotations
@@ -80,9 +86,20 @@ def _longest_first() -> list[tuple[str, str]]:
     return [(name, rule_pattern(ids)) for name, ids in sorted(RULES, key=lambda r: -len(r[1]))]
 
 
-def sentences(text: Column) -> Column:
-    cut = F.regexp_replace(F.lower(text), r"([.!?;:])[ \t\r]+", "$1\n")
-    return F.transform(F.split(cut, "\n"), lambda s: F.trim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")))
+#: Between sentences, and between lines that may be of one.
+HARD, SOFT = "\x01", "\x02"
+
+
+def units(text: Column) -> Column:
+    """The known sentences and the other lines of a text, normalised, each with the ``HARD`` or ``SOFT`` after it."""
+    cut = F.regexp_replace(F.translate(F.lower(text), HARD + SOFT, "  "), r"[.!?;:][ \t\r\n]+", HARD)
+    cut = F.regexp_replace(cut, rf"\n[^\p{{L}}\p{{N}}{HARD}]*\n", HARD)
+    cut = F.regexp_replace(F.translate(cut, "\n", SOFT), rf"[^\p{{L}}\p{{N}}{HARD}{SOFT}]+", " ")
+    cut = F.regexp_replace(cut, rf"[ {SOFT}]*{HARD}[ {HARD}{SOFT}]*", HARD)
+    cut = F.regexp_replace(cut, rf" *{SOFT}[ {SOFT}]*", SOFT)
+    cut = F.regexp_replace(cut, rf"^[ {HARD}{SOFT}]+|[ {HARD}{SOFT}]+$", "")
+    known = "|".join(s.replace(" ", f"[ {SOFT}]") for _, s in sorted(SENTENCES, key=lambda x: -len(x[1])))
+    return F.regexp_extract_all(cut, F.lit(rf"(?:(?:{known})(?=[{HARD}{SOFT}]|$)|[^{HARD}{SOFT}]+)[{HARD}{SOFT}]?"), F.lit(0))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -94,8 +111,14 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
     cued = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(c)) for c in CUES])
     table_ = F.create_map(*[F.lit(x) for i, s in SENTENCES for x in (s, i)])
-    names = F.transform(F.filter(sentences(F.col(text)), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(table_, s), F.lit("-")))
-    line = F.when(cued, F.concat(F.lit(","), F.array_join(names, ","), F.lit(","))).otherwise(F.lit(","))
+
+    def name(unit: Column) -> Column:
+        """An identifier or ``-`` with a comma, ``~`` for an unknown line that the next may go on."""
+        known = F.try_element_at(table_, F.trim(F.translate(unit, HARD + SOFT, "  ")))
+        return F.when(known.isNotNull(), F.concat(known, F.lit(","))).when(F.endswith(unit, F.lit(SOFT)), F.lit("~")).otherwise(F.lit("-,"))
+
+    names = F.regexp_replace(F.array_join(F.transform(units(F.col(text)), name), ""), "~+(?:-,)?", "-,")
+    line = F.when(cued, F.concat(F.lit(","), names)).otherwise(F.lit(","))
     rules = _longest_first()
     matches = F.regexp_extract_all(F.col(line_name), F.lit("(?<=,)(?:" + "|".join(f"(?:{p})" for _, p in rules) + ")"), F.lit(0))
 

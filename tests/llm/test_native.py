@@ -215,6 +215,58 @@ def test_license_rules(spark, tmp_path):
     assert path
 
 
+WRAPPED = {
+    "MIT": """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "BSD-2-Clause": """Copyright (c) 2020, A B
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "GPL-3.0-or-later": """a.py is a part of B
+
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+""",
+}
+
+
+def test_wrapped_licenses(spark):
+    marks = ("", "# ", " * ", "// ", "\t")
+    rows = [(name, "\r\n".join(m + x for x in text.split("\n")) if m == "// " else "\n".join(m + x for x in text.split("\n"))) for name, text in WRAPPED.items() for m in marks]
+    rows += [
+        ("MIT", "Title\nReleased under the MIT License\nno stop, one more line\nand one"),
+        ("Apache-2.0", 'Licensed under the Apache License,\nVersion 2.0 (the "License")\nother words\non three\nlines;\nyou may not use this file except\nin compliance with the License.'),
+        ("", "unreleased\nunder the MIT License\nor released under the MIT\nLicense"),
+        ("", "Released under the\n\nMIT License"),
+        ("MIT", "word\n" * 20_000 + "Released under\nthe MIT License" + "\n" * 20_000 + "\x01\x02"),
+    ]
+    df = op5_licenses.scan(spark.createDataFrame(rows, "want string, text string"))
+    assert native(df)
+    got = df.collect()
+    assert [r["licenses"] for r in got] == [r["want"] for r in got]
+    assert got[-4]["known"] == "apache-notice-the,apache-compliance"
+    for name in ("MIT", "GPL-3.0-or-later"):
+        assert {r["n_known"] for r in got[:15] if r["want"] == name} == {2}
+
+
 # 6
 
 BASE = (
