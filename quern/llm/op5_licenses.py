@@ -54,8 +54,8 @@ SENTENCES = (
     ("spdx-apache", "spdx license identifier apache 2 0"),
     ("spdx-mit", "spdx license identifier mit"),
 )
-#: Every known sentence holds one of these.
-CUES = ("licen", "copyright", "this program is free software", "endorse or promote")
+#: Every known sentence holds one of these, each within a word: signs and spaces between words vary.
+CUES = ("licen", "copyright", "software")
 #: Licence and the ordered sentences that show it.
 RULES = (
     ("Apache-2.0", ("apache-notice-the", "apache-compliance", "apache-copy", "apache-as-is", "apache-see")),

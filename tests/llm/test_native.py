@@ -267,6 +267,14 @@ def test_wrapped_licenses(spark):
         assert {r["n_known"] for r in got[:15] if r["want"] == name} == {2}
 
 
+def test_license_cues_are_blind_to_signs_and_spaces(spark, tmp_path):
+    rows = [(1, "This program is  free software"), (2, "This program is *free* software."), (3, "This program is\tfree software"), (4, "This program is free"), (5, "Software.")]
+    path = save(spark, tmp_path, "documents", rows, DOCS)
+    df = op5_licenses.query(spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["n_known"]) for r in df.collect()) == [(1, 1), (2, 1), (3, 1), (4, 0), (5, 0)]
+    compare(df, op5_licenses.ORACLE_SQL, documents=path)
+
+
 # 6
 
 BASE = (
