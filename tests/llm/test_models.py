@@ -368,6 +368,37 @@ def test_leaks_equal_alignment_of_all_with_all(spark):
     assert all({(100 * i + 2, i), (100 * i + 3, i), (100 * i + 4, i)} <= set(want) for i in range(3))
 
 
+def test_leaks_of_the_tables_equal_alignment_of_all_with_all(spark, small):
+    """Whole documents against whole items, with copies of which one word in 3 to 9 is replaced, dropped or followed by another."""
+    bench = table(spark, small, "benchmark")
+    items = op9_decontaminate.Items(*map(list, zip(*((r["item_id"], r["text"]) for r in bench.orderBy("item_id").collect()), strict=True)))
+    texts = [(r["doc_id"], r["text"]) for r in table(spark, small, "documents").collect()]
+    tokens = [re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", r["text"]) for r in bench.orderBy("item_id").collect()]
+    for i, words in enumerate(tokens):
+        every, how = 3 + i % 7, i // 7 % 3
+        change = (lambda w, k: [f"new{k}"], lambda w, k: [], lambda w, k: [w, f"in{k}"])[how]
+        copy = [x for k, w in enumerate(words) for x in (change(w, k) if k % every == every - 1 else [w])]
+        texts.append((10_000 + i, f"{texts[i][1]} {' '.join(copy)} {texts[i + 60][1]}"))
+    want = set()
+    for d, text in texts:
+        batch = Batch([text], bigru._SEPARATORS)
+        scores = op9_decontaminate.best_scores([(items.of(k), items.numbers(batch.words)) for k in range(len(tokens))])
+        want |= {(d, items.ids[k]) for k in np.flatnonzero((scores >= items.least) & (scores >= op9_decontaminate.THRESHOLD * 2 * np.diff(items.at)))}
+    got = op9_decontaminate.with_leaks(docs(spark, [(d, t, "s") for d, t in texts]), bench).select("doc_id", F.inline("leaks")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and {(10_000 + i, items.ids[i]) for i in range(len(tokens))} <= want
+
+
+def test_frequent_seeds_are_left_out_and_nothing_is_lost(spark):
+    items = op9_decontaminate.Items([1, 2], ["one two three four five six seven eight nine ten", "of the"])
+    before = len(items.code)
+    df = docs(spark, [(k, f"one two three four of the w{k}", "s") for k in range(50)] + [(99, "six seven eight nine ten", "s")])
+    counts = op9_decontaminate.seed_counts(df, "text", items)
+    assert sorted(counts) == [0] * 5 + [1] * 7 + [50] * 6
+    items.leave_out(counts)
+    # Ten words: a copy scores 8 and holds 3 seeds, one of which it can do without; five seeds occur nowhere.
+    assert before == 18 and len(items.code) == 12 and items.need.tolist() == [2, 1]
+
+
 def test_copies_with_every_third_word_replaced():
     rng = np.random.default_rng(5)
     items = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in rng.integers(15, 60, 40)]
