@@ -59,6 +59,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Keys with so many rows, and at least a thousandth of all, are joined apart.
+HOT_ROWS = 10_000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], many: str = "n") -> DataFrame:
+    """Inner join to a side with one row a key and in ``many`` the rows of ``left`` that it has, or more.
+
+    The rows of a hot key stay where they are: hot keys are a thousand at most,
+    as each has a thousandth of the rows, and go to all tasks. ``many`` is dropped.
+    """
+    total = right.agg(F.sum(many)).first()[0] or 0
+    if total < HOT_ROWS:
+        return left.join(right.drop(many), keys)
+    hot = F.col(many) >= max(HOT_ROWS, -(-total // 1000))
+    few, others = right.where(hot).drop(many), right.where(~hot).drop(many)
+    rest = left.join(F.broadcast(few.select(*keys)), keys, "left_anti")
+    return left.join(F.broadcast(few), keys).unionByName(rest.join(others, keys))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -5,25 +5,32 @@
    of its own, the j-th of them with a value in [j, j + 1), and a slot keeps
    its least value. All elements of a batch do step j together and a text is
    done when its largest slot is below j + 1: no later step can change it.
-2. Texts with equal sets are one class; its least doc_id stands for it.
-3. Bands of ``ROWS`` slots deal the classes to buckets. In each bucket all
-   members are held against the least doc_id, on their full sets; links are
-   grouped by union-find.
+2. Texts with equal sets are one class, numbered by one of its rows; all that
+   follows is about classes, so it matters neither how many copies a text has
+   nor whether doc_ids repeat.
+3. Bands of ``ROWS`` slots deal the classes to buckets. Rows of (band, class)
+   are sorted by range, so that a large bucket is spread over tasks; each piece
+   of a bucket is held against its first class, and the first ones of the pieces
+   against each other's least, on their full sets; links are grouped by
+   union-find.
 4. A bucket whose members are then in one component is finished. In any other
    one the signatures of members of different components are compared in
    blocks: first for a forest of likely pairs, confirmed as before; then, in
-   the buckets still open, every likely pair that is not yet joined is held
-   against full sets inside its block, likeliest first, and only links come out.
+   the buckets still open, for all members with a likely partner that they are
+   not yet joined with. Only their texts go to the blocks, where every likely
+   pair is held against full sets, likeliest first, and only links come out.
 
 A pair of exactly the least similarity shares no band with a probability of
 (1 - 0.8**5)**32 = 3e-6 and is passed over by its signature with 1e-8; no
 bucket, group or candidate list has a cap. A center with many members is dealt
-over salted tasks, a large bucket over blocks of about ``BLOCK`` members, and
-texts are shuffled only for documents that share a bucket.
+over salted tasks, a large bucket over blocks of about ``BLOCK`` members and
+``CELL`` shingles, and texts are shuffled only for classes that share a bucket.
+A bucket of n members that stay apart costs n * n / 2 comparisons of signatures.
 
 Texts without words have the empty set, n_shingles 0, and are linked with
 nothing; a null doc_id is linked with nothing and kept. Rows that share a
-doc_id count as one document. An empty table gives an empty result.
+doc_id count as one document, that of all their texts. An empty table gives an
+empty result. Other columns of the table are not read.
 """
 
 from __future__ import annotations
@@ -33,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, table
+from .common import join_skewed, materialize, small_batches, table
 from .components import Forest, components
 from .words import Batch, distinct, mix64, pieces
 
@@ -48,6 +55,7 @@ SEED = 0x5EED
 #: Share of equal slots (8 bits of each) from which a pair is worth a full comparison.
 LIKELY = 0.62
 BLOCK = 512
+CELL = 1 << 20
 PER_SALT = 512
 _U = np.uint64
 
@@ -94,7 +102,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _features(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, t) for b in batches for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        rows = ((k, t) for b in batches for k, t in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(2), strict=True))
         for keys, texts in pieces((k, t.as_py()) for k, t in rows):
             sets, bounds = distinct(*Batch(texts).shingles(shingle))
             signature = superminhash(sets, bounds)
@@ -104,19 +112,61 @@ def _features(shingle: int):
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keys, pa.int64()),
+                    pa.array([k[0] for k in keys], pa.int64()),
+                    pa.array([k[1] for k in keys], pa.int64()),
                     pa.array(sizes, pa.int64()),
                     pa.array(halves[:, 0], pa.int64()),
                     pa.array(halves[:, 1], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, bands.shape[1]), pa.int32()), pa.array(bands.reshape(-1), pa.int64())),
                     pa.array([row.tobytes() for row in low], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "d1", "d2", "bands", "low"],
+                names=["doc_id", "text_key", "n_shingles", "d1", "d2", "bands", "low"],
             )
 
     return run
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """band, member, size, center and edge of the runs of two and more, from sorted rows (band, class, size).
+
+    The center is a run's first class. The first and the last run of a task may
+    go on in another one: they come out whatever their length, with ``edge`` at
+    their first row; where that is out already, a row without a member says so.
+    """
+
+    def out(band, member, size, center, edge):
+        return pa.RecordBatch.from_arrays([pa.array(band, pa.int64()), pa.array(member, pa.int64()), pa.array(size, pa.int64()), pa.array(center, pa.int64()), pa.array(edge, pa.bool_())], names=["band", "member", "size", "center", "edge"])
+
+    head: tuple | None = None  # first row of the open run
+    alone, first = False, True  # whether it is all of it so far and not yet out; whether no run has ended
+    for batch in batches:
+        band, member, size = (batch.column(i).to_numpy() for i in range(3))
+        if not len(band):
+            continue
+        if head is not None:
+            band, member, size = (np.concatenate(([h], x)) for h, x in zip(head, (band, member, size), strict=True))
+        begins = np.concatenate(([True], band[1:] != band[:-1]))
+        start = np.flatnonzero(begins)
+        run = np.cumsum(begins) - 1
+        many = np.diff(np.append(start, len(band)))
+        emit = (many > 1)[run]
+        edge = np.zeros(len(band), bool)
+        if head is None:
+            emit[0] = edge[0] = True  # the first run of the task is on its edge
+        elif not alone:
+            emit[0] = False
+        yield out(band[emit], member[emit], size[emit], member[start][run][emit], edge[emit])
+        at = start[-1]
+        if len(start) > 1 or head is None:
+            first = len(start) == 1
+            alone = many[-1] == 1 and not (first and head is None)
+        else:
+            alone = False
+        head = (band[at], member[at], size[at])
+    if head is not None and not first:
+        yield out([head[0]], [head[1] if alone else None], [head[2]], [head[1]], [True])
+
+
 def _set(text: str, shingle: int) -> np.ndarray:
     return np.unique(Batch([text]).shingles(shingle)[0])
 
@@ -153,9 +203,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -
     """The links u, v among ``pairs`` (center, member), by their full sets."""
     many = pairs.groupBy("center").agg(F.ceil(F.count("*") / PER_SALT).alias("salts"))
     dealt = pairs.join(many, "center").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
-    members = dealt.select("center", "salt", "member").join(texts, F.col("member") == texts["doc_id"]).select("center", "salt", "member", "text")
+    members = dealt.select("center", "salt", "member").join(texts, F.col("member") == texts["class"]).select("center", "salt", "member", "text")
     none = F.lit(None).cast("long").alias("member")
-    centers = many.select("center", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), none).join(texts, F.col("center") == texts["doc_id"]).select("center", "salt", "member", "text")
+    centers = many.select("center", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int"))).alias("salt"), none).join(texts, F.col("center") == texts["class"]).select("center", "salt", "member", "text")
     rows = members.unionByName(centers).repartition("center", "salt").sortWithinPartitions("center", "salt", F.col("member").asc_nulls_first())
     return rows.mapInArrow(_confirm(shingle, percent), "u long, v long")
 
@@ -168,7 +218,7 @@ def _by_cell(work, names: list[str]):
 
         def done() -> pa.RecordBatch:
             found = work(held)
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(len(names))], names=names)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -210,6 +260,17 @@ def _forest(rows: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
+def _first_shared(x: tuple, y: tuple) -> int:
+    """The first band of two rows that both have."""
+    return next(b for b, c in zip(x[7], y[7], strict=True) if b == c)
+
+
+def _partners(rows: list[tuple]) -> list[tuple]:
+    """Band, i, j, block, member and component of the rows of a cell with a likely partner, in the first band that both share."""
+    some = {k for _, x, y in _likely(rows) if _first_shared(rows[x], rows[y]) == rows[0][0] for k in (x, y)}
+    return [rows[k][:6] for k in sorted(some)]
+
+
 def _cell_links(shingle: int, percent: int):
     """Links that join components of a cell, every likely pair held against full sets.
 
@@ -220,9 +281,7 @@ def _cell_links(shingle: int, percent: int):
     def work(rows: list[tuple]) -> list[tuple[int, int]]:
         forest, out, sets = Forest(), [], {}
         for _, x, y in _likely(rows):
-            if forest.find(rows[x][5]) == forest.find(rows[y][5]):
-                continue
-            if next(b for b, c in zip(rows[x][7], rows[y][7], strict=True) if b == c) != rows[x][0]:
+            if forest.find(rows[x][5]) == forest.find(rows[y][5]) or _first_shared(rows[x], rows[y]) != rows[x][0]:
                 continue
             for k in (x, y):
                 if k not in sets:
@@ -237,50 +296,98 @@ def _cell_links(shingle: int, percent: int):
 
 def _cells(members: DataFrame, grouped: DataFrame, more: DataFrame) -> DataFrame:
     """The rows of each cell (two blocks of a bucket) for buckets of several components."""
-    placed = members.join(grouped, members["doc_id"] == grouped["node"], "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    several = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.ceil(F.count("*") / BLOCK).cast("int").alias("g")).where("a <> z").select("band", "g")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int")
-    opened = placed.join(several, "band").withColumn("block", block).join(more, "doc_id")
+    placed = members.join(grouped, members["member"] == grouped["node"], "left").select("band", "member", "size", F.coalesce("component", "member").alias("component"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / CELL)).cast("int")
+    several = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("z"), blocks.alias("g"), F.count("*").alias("n")).where("a <> z").select("band", "g", "n")
+    block = F.pmod(F.xxhash64("member"), F.col("g")).cast("int")
+    opened = join_skewed(placed, materialize(several, "several"), ["band"]).withColumn("block", block).join(more, F.col("member") == F.col("class"))
     cells = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    extra = [c for c in more.columns if c != "doc_id"]
-    dealt = opened.withColumn("cell", F.explode(cells)).select("band", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", F.col("doc_id").alias("member"), "component", *extra)
+    extra = [c for c in more.columns if c != "class"]
+    dealt = opened.withColumn("cell", F.explode(cells)).select("band", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "block", "member", "component", *extra)
     return dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "member")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+def text_key(text: str = "text") -> Column:
+    """Tells texts that share a doc_id apart."""
+    return F.xxhash64(F.col(text))
+
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, one_by_id: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, text_key, n_shingles, d1 and d2 of each row; d1, d2, first, class, component and n of each class.
+
+    A class is a set of shingles; ``first`` is the least doc_id with it,
+    ``component`` the class that stands for all that are linked, ``n`` its rows.
+    """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    shape = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, low binary"
-    features = materialize(texts.mapInArrow(_features(shingle), shape), "features")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text"))
+    shape = "doc_id long, text_key long, n_shingles long, d1 long, d2 long, bands array<long>, low binary"
+    features = materialize(texts.mapInArrow(_features(shingle), shape).withColumn("row", F.monotonically_increasing_id()), "features")
     sets = features.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")), "classes")
-    # Rows that share a doc_id are one document: their classes are linked.
-    same = sets.select("doc_id", "d1", "d2").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    alike = sets.join(same, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-
-    firsts = classes.select("first").distinct()
-    banded = sets.join(firsts, sets["doc_id"] == firsts["first"], "left_semi").select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("other")).where("center <> other").select("band", "center")
-    members = materialize(banded.join(shared, "band").select("band", "doc_id", "center"), "members")
-    pairs = materialize(members.where("doc_id <> center").select("center", F.col("doc_id").alias("member")).distinct(), "pairs")
-    asked = members.select("doc_id").distinct()
-    texts = materialize(texts.join(asked, "doc_id", "left_semi"), "texts")
-    links = materialize(_confirmed(pairs, texts, shingle, percent).union(alike), "links")
-    grouped = components(links)
-    marks = sets.join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = materialize(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min("row").alias("class"), F.count("*").alias("n")), "classes")
+    ones = materialize(sets.join(known.select("class"), sets["row"] == known["class"]).select("class", "doc_id", "text_key", "n_shingles", "bands", "low"), "ones")
+
+    banded = ones.select(F.explode("bands").alias("band"), "class", "n_shingles").repartitionByRange("band", "class").sortWithinPartitions("band", "class")
+    stars = materialize(banded.mapInArrow(_stars, "band long, member long, size long, center long, edge boolean"), "members")
+    edges = stars.where("edge").select("band", "center").distinct()  # two rows a task at most
+    tops = edges.groupBy("band").agg(F.min("center").alias("top"))
+    over = edges.join(tops, "band").where("center <> top").select(F.col("top").alias("center"), F.col("center").alias("member"))
+    pairs = materialize(stars.where("member <> center").select("center", "member").union(over).distinct(), "pairs")
+    asked = pairs.select("member").union(pairs.select("center")).distinct()
+    members = stars.where("member is not null").select("band", "member", "size")
+    wanted = ones.join(asked, ones["class"] == asked["member"], "left_semi").select("class", F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    texts = texts.join(wanted, (F.col("doc_id") == F.col("id")) & (F.col("text_key") == F.col("key"))).select("class", "text")
+    if not features.groupBy("doc_id", "text_key").count().where("count > 1 and doc_id is not null").isEmpty():
+        texts = texts.dropDuplicates(["class"])  # rows that repeat
+    texts = materialize(texts, "texts")
+    links = _confirmed(pairs, texts, shingle, percent)
+    if one_by_id:  # Rows that share a doc_id are one document: their classes are linked.
+        shared = materialize(sets.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("a <> z").select("doc_id"), "shared")
+        if not shared.isEmpty():
+            own = sets.select("doc_id", "d1", "d2").distinct().join(shared, "doc_id", "left_semi").join(known.select("d1", "d2", "class"), ["d1", "d2"])
+            own = materialize(own.select("doc_id", "class"), "own")
+            links = links.union(own.join(own.groupBy("doc_id").agg(F.min("class").alias("v")), "doc_id").select(F.col("class").alias("u"), "v"))
+    grouped = components(materialize(links, "links"))
     again = lambda more: components(more.union(grouped.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    likely = materialize(_cells(members, grouped, marks.select("doc_id", "low")).mapInArrow(_by_cell(_forest, ["center", "member"]), "center long, member long").distinct(), "pairs")
-    grouped = again(_confirmed(likely, texts, shingle, percent))
-    whole = marks.select("doc_id", "low", "bands").join(texts.dropDuplicates(["doc_id"]), "doc_id")
-    rest = _cells(members, grouped, whole).mapInArrow(_by_cell(_cell_links(shingle, percent), ["u", "v"]), "u long, v long")
-    grouped = again(rest)
-
-    placed = features.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left")
-    named = placed.join(grouped, placed["first"] == grouped["node"], "left")
-    lone = F.col("n_shingles") == 0
-    component = F.when(lone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "first"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
+    likely = materialize(_cells(members, grouped, ones.select("class", "low")).mapInArrow(_by_cell(_forest, ["center", "member"]), "center long, member long").distinct(), "pairs")
+    if not likely.isEmpty():
+        grouped = again(_confirmed(likely, texts, shingle, percent))
+    marks = ones.select("class", "low", "bands")
+    cell = ["band", "i", "j", "block", "member", "component"]
+    open_ = materialize(_cells(members, grouped, marks).mapInArrow(_by_cell(_partners, cell), "band long, i long, j long, block long, member long, component long"), "open")
+    if not open_.isEmpty():
+        whole = open_.join(marks, open_["member"] == marks["class"]).drop("class").join(texts, F.col("member") == texts["class"]).select(*cell, "low", "bands", "text")
+        dealt = whole.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "member")
+        grouped = again(dealt.mapInArrow(_by_cell(_cell_links(shingle, percent), ["u", "v"]), "u long, v long"))
+    out = known.join(grouped, known["class"] == grouped["node"], "left").withColumn("component", F.coalesce("component", "class")).drop("node")
+    return features.select("doc_id", "text_key", "n_shingles", "d1", "d2"), materialize(out, "grouped")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of ``docs``."""
+    rows, known = classes(docs, shingle, percent)
+    least = known.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    named = join_skewed(known.select("component", "d1", "d2", F.col("n").alias("rows")), least, ["component"]).select("d1", "d2", "least", F.col("rows").alias("n"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    placed = join_skewed(rows.where(linked), named, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    alone = rows.where(~linked).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.union(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+
+
+def kept_texts(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id and text_key of the texts that stay: of each group of linked ones the least, and all without words.
+
+    Other than in ``near_duplicates`` texts that share a doc_id are documents of
+    their own. Rows without a doc_id all stay and are not in the result.
+    """
+    rows, known = classes(docs, shingle, percent, one_by_id=False)
+    least = known.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("n"))
+    named = join_skewed(known.select("component", "d1", "d2", "first", F.col("n").alias("rows")), least, ["component"])
+    # Of the classes that have the least doc_id one stands for the group, of its texts under that id one.
+    standing = named.where(F.col("first") == F.col("least")).groupBy("component", "least").agg(F.min(F.struct("d1", "d2")).alias("d")).select("least", "d.d1", "d.d2")
+    here = rows.where("doc_id is not null")
+    chosen = here.join(standing, (here["doc_id"] == standing["least"]) & (here["d1"] == standing["d1"]) & (here["d2"] == standing["d2"]), "left_semi")
+    one = chosen.where("n_shingles > 0").groupBy("doc_id", "d1", "d2").agg(F.min("text_key").alias("text_key")).select("doc_id", "text_key")
+    return one.union(here.where("n_shingles = 0").select("doc_id", "text_key").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

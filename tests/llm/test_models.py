@@ -5,10 +5,11 @@ import zlib
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bigru, op3_mixing, op7_toxicity, op8_near_dedup, op9_decontaminate, op10_token_counts
+from quern.llm import bigru, common, op3_mixing, op7_toxicity, op8_near_dedup, op9_decontaminate, op10_token_counts
 from quern.llm.common import table
 from quern.llm.components import components
 from quern.llm.words import Batch, distinct
@@ -283,6 +284,76 @@ def test_groups_of_odd_rows(spark):
     assert op8_near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
+def test_stars_are_the_runs_of_sorted_rows(step):
+    rng = np.random.default_rng(step)
+    rows = sorted({(int(b), int(c)) for b, c in zip(rng.integers(0, 12, 40), rng.integers(0, 30, 40), strict=True)})
+    runs = {}
+    for band, c in rows:
+        runs.setdefault(band, []).append(c)
+    names = ["band", "class", "n_shingles"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[1] * 2 for r in some], pa.int64())], names=names) for a in range(0, len(rows), step) for some in [rows[a : a + step]]]
+    got = [r for b in op8_near_dedup._stars(iter(batches)) for r in b.to_pylist()]
+    edges = [rows[0][0], rows[-1][0]]
+    want = sorted((b, c, 2 * c, min(run)) for b, run in runs.items() for c in run if len(run) > 1 or b in edges)
+    assert sorted((r["band"], r["member"], r["size"], r["center"]) for r in got if r["member"] is not None) == want
+    assert {(r["band"], r["center"]) for r in got if r["edge"]} == {(b, min(runs[b])) for b in edges}
+    assert list(op8_near_dedup._stars(iter([]))) == []
+
+
+def test_groups_of_the_tables_equal_brute_force(spark):
+    """Every document of sf0.01 against all others that share a shingle with it."""
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    sets, holders, root = {}, {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = words_of(re.sub("[A-Z]", lambda c: c[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sets:
+        shared = {}
+        for s in sets[i]:
+            for j in holders[s]:
+                shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = op8_near_dedup.query(spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_groups_do_not_depend_on_partitions_and_repeated_ids(spark):
+    """Texts of their own that share an id, and near copies of each: all are linked, however the rows lie."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(5):
+        words = [f"t{k}x{i}" for i in range(100)]
+        rows += [(1, " ".join(words), "s"), (10 + k, " ".join(words[1:]), "s")]
+    rows += [(50, None, "s"), (None, "t0x0", "s"), (60, "other words than all of these here", "s")]
+    for n in (1, 4, 7):
+        df = docs(spark, [rows[i] for i in rng.permutation(len(rows))]).repartition(n)
+        got = {(r["doc_id"], r["component_id"]) for r in op8_near_dedup.near_duplicates(df).collect()}
+        assert got == {(1, 1), *((10 + k, 1) for k in range(5)), (50, 50), (None, None), (60, 60)}
+        kept = sorted(r["doc_id"] for r in op8_near_dedup.kept_texts(df).collect())
+        assert kept == [1] * 5 + [50, 60]
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    left = spark.createDataFrame([(k % 5 if k % 2 else 99, k) for k in range(1000)], "a long, b long")
+    right = left.groupBy("a").count().withColumn("c", F.col("a") * 2)
+    want = sorted(map(tuple, left.join(right.drop("count"), "a").collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 300)
+    joined = common.join_skewed(left, right, ["a"], "count")
+    assert joined.columns == ["a", "b", "c"] and sorted(map(tuple, joined.collect())) == want
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, int(x)) for x in range(200, 400)] + [tuple(map(int, rng.integers(500, 900, 2))) for _ in range(250)] + [(3, 3), (9, 8), (9, 8)]
