@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quern.functions.values import field, is_number, type_of
 from quern.plans.syntax import Aggregate, Order
@@ -81,14 +82,32 @@ def cut(df: DataFrame, limit: int | None, offset: int = 0) -> DataFrame:
     return df.limit(limit) if limit is not None else df
 
 
-def first_by(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of least ``order`` of each key; rows without a key are left out.
+def sortable(df: DataFrame, but: Iterable[str] = ()) -> list[Column]:
+    """The columns that have an order, to break ties by."""
+    left_out = {*but}
+    return [field(f.name) for f in df.schema.fields if f.name not in left_out and not isinstance(f.dataType, (T.MapType, T.VariantType))]
 
-    A hash aggregate of one number and a join back: a grouped minimum of whole
-    rows would sort all of them.
+
+def first_of(df: DataFrame, key: Column, *order: Column) -> DataFrame:
+    """One row of each key, the first by ``order``; rows without a key are left out.
+
+    A row number with a limit of one: each task keeps one row a key before the
+    shuffle, so a key with most rows sends no more than any other.
+    """
+    nth = "_nth"
+    while nth in df.columns:
+        nth = f"_{nth}"
+    ranked = df.where(key.isNotNull()).withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked.where(F.col(nth) == 1).drop(nth)
+
+
+def first_by(df: DataFrame, key: str, order: str | tuple[str, ...]) -> DataFrame:
+    """The row of least ``order`` (one field or more) of each key.
+
+    Ties go by the other columns, as they stand; rows without an order come last.
     """
-    least = df.where(field(key).isNotNull()).groupBy(field(key).alias("_key")).agg(F.min(field(order)).alias("_least"))
-    return df.join(least, (field(key) == F.col("_key")) & (field(order) == F.col("_least"))).drop("_key", "_least")
+    fields = (order,) if isinstance(order, str) else order
+    return first_of(df, field(key), *[field(o).asc_nulls_last() for o in fields], *sortable(df, (key, *fields)))
 
 
 def _prefixed(df: DataFrame, alias: str) -> DataFrame:
@@ -100,7 +119,7 @@ def _comparable(left: DataFrame, right: DataFrame, a: str, b: str) -> bool:
     return x is not None and y is not None and (x == y or (is_number(x) and is_number(y)))
 
 
-def lookup_first(left: DataFrame, right: DataFrame, local: str, foreign: str, alias: str, order: str = "id", how: str = "left") -> DataFrame:
+def lookup_first(left: DataFrame, right: DataFrame, local: str, foreign: str, alias: str, order: str | tuple[str, ...] = "id", how: str = "left") -> DataFrame:
     """Each left row with the first match of the right side, as ``alias.field``.
 
     how: ``left`` keeps rows without a match, ``inner`` drops them. Without

@@ -7,6 +7,8 @@ so no task sees all rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     """field, present, missing, distinct, low, high and mean of each plain column.
 
     low, high and mean are of numbers only; distinct is by HyperLogLog++ unless
-    ``exact``.
+    ``exact``, which counts each value first.
     """
     plain = [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType))]
     whole = F.count(F.lit(1))
@@ -31,11 +33,15 @@ def profile(df: DataFrame, exact: bool = False) -> DataFrame:
     for f in plain:
         x = field(f.name)
         value = x.cast("double") if is_number(f.dataType) else F.lit(None).cast("double")
-        different = F.count_distinct(x) if exact else F.approx_count_distinct(x)
-        parts.append(F.struct(F.lit(f.name).alias("field"), F.count(x).alias("present"), (whole - F.count(x)).alias("missing"), different.alias("distinct"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean")))
+        parts.append(F.struct(F.lit(f.name).alias("field"), F.count(x).alias("present"), (whole - F.count(x)).alias("missing"), (F.lit(0).cast("long") if exact else F.approx_count_distinct(x)).alias("distinct"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean")))
     if not parts:
         return df.sparkSession.createDataFrame([], "field string, present long, missing long, distinct long, low double, high double, mean double")
-    return df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    out = df.agg(F.array(*parts).alias("all")).select(F.inline("all"))
+    if not exact:
+        return out
+    # One hash aggregate a column over its values, instead of one over all rows once a column.
+    counts = reduce(DataFrame.unionAll, [df.select(field(f.name)).distinct().agg(F.lit(f.name).alias("field"), F.count(field(f.name)).alias("distinct")) for f in plain])
+    return out.drop("distinct").join(F.broadcast(counts), "field").select(*out.columns)  # one row a column
 
 
 def sizes(df: DataFrame) -> DataFrame:
@@ -66,10 +72,14 @@ def histogram(df: DataFrame, name: str, buckets: int = HISTOGRAM, ranges: int =
     bases = placed.groupBy("at").agg(F.sum("n").alias("n")).select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("at").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = placed.join(F.broadcast(bases), "at").withColumn("upto", F.col("base") + F.sum("n").over(within))  # at most ``ranges`` rows
-    total = counts.agg(F.sum("n").alias("total"))
-    bounds = total.where("total > 0").select(F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), "total").withColumn("rank", F.greatest(F.floor((F.col("bucket") + 1) * F.col("total") / buckets), F.lit(1)))
-    hit = (F.col("rank") > F.col("upto") - F.col("n")) & (F.col("rank") <= F.col("upto"))
-    return ranked.join(F.broadcast(bounds), hit).select("bucket", F.col("value").alias("bound"))
+    # A value knows its ranks, and so the buckets that end at one of them: no join with these.
+    total = df.where(field(name).isNotNull()).count()
+
+    def ended(rank: str) -> Column:  # buckets that end at a rank or before
+        return F.least(F.lit(buckets), F.expr(f"(({rank} + 1) * {buckets} - 1) div {max(1, total)}").cast("int"))
+
+    spans = ranked.withColumns({"from": F.when(F.col("upto") == F.col("n"), 0).otherwise(ended("(upto - n)")), "to": ended("upto")})
+    return spans.where("from < to").select(F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("bucket"), F.col("value").alias("bound"))
 
 
 def quick_histogram(df: DataFrame, name: str, buckets: int = HISTOGRAM, accuracy: int = 10_000) -> DataFrame:
@@ -93,8 +103,9 @@ def selectivity(df: DataFrame, condition: Column) -> DataFrame:
     return df.agg(F.coalesce(F.avg(F.coalesce(condition, F.lit(False)).cast("double")), F.lit(0.0)).alias("selectivity"))
 
 
-def join_size(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Estimated rows of an equi-join: the product of both over the greater distinct count."""
-    x = left.agg(F.count(F.lit(1)).alias("l"), F.approx_count_distinct(field(a)).alias("ld"))
-    y = right.agg(F.count(F.lit(1)).alias("r"), F.approx_count_distinct(field(b)).alias("rd"))
+def join_size(left: DataFrame, right: DataFrame, a: str, b: str, exact: bool = False) -> DataFrame:
+    """Estimated rows of an equi-join: the product of both over the greater distinct count (a sketch's unless ``exact``)."""
+    different = F.count_distinct if exact else F.approx_count_distinct
+    x = left.agg(F.count(F.lit(1)).alias("l"), different(field(a)).alias("ld"))
+    y = right.agg(F.count(F.lit(1)).alias("r"), different(field(b)).alias("rd"))
     return x.crossJoin(y).select((F.col("l") * F.col("r") / F.greatest("ld", "rd", F.lit(1))).alias("rows"))

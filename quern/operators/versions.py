@@ -1,9 +1,8 @@
 """Versioned rows: snapshot reads, conflicts, vacuum, and log-structured merge.
 
 A version log has a row for each write; a change log one for each put or
-delete. Newest-by-key is a hash aggregate of one number and a join back on key
-and number, so a key with many versions combines on the map side and no window
-has to hold them.
+delete. Newest-by-key is a row number with a limit of one, which each task
+applies before the shuffle, so a key with many versions sends one a task.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.operators.relational import first_of, sortable
+
 
 def visible(versions: DataFrame, at: int | Column, me: int | None = None, active: Iterable[int] = (), created_by: str = "created_tx", created: str = "created_ts", deleted: str | None = "deleted_ts", state: str | None = None) -> DataFrame:
     """The versions that a transaction which began at ``at`` may see.
@@ -34,9 +35,8 @@ def visible(versions: DataFrame, at: int | Column, me: int | None = None, active
 
 
 def newest(log: DataFrame, key: str, seq: str) -> DataFrame:
-    """The row of greatest ``seq`` of each key; rows without a key are left out."""
-    top = log.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(seq).alias("_top"))
-    return log.join(top, (F.col(key) == F.col("_key")) & (F.col(seq) == F.col("_top"))).drop("_key", "_top")
+    """The row of greatest ``seq`` of each key, ties by the other columns; rows without a key are left out."""
+    return first_of(log, F.col(key), F.col(seq).desc_nulls_last(), *sortable(log, (key, seq)))
 
 
 def as_of(versions: DataFrame, key: str, version: str, at: int | Column, gone: Column, **how) -> DataFrame:
@@ -58,7 +58,7 @@ def merged(log: DataFrame, key: str, seq: str, gone: Column, keep_tombstones: bo
 
 def point_get(log: DataFrame, key: str, value: object, seq: str, gone: Column) -> DataFrame:
     """The current row of one key; the filter reaches the scan."""
-    return log.where(F.col(key) == value).orderBy(F.desc(seq)).limit(1).where(~F.coalesce(gone, F.lit(False)))
+    return log.where(F.col(key) == value).orderBy(F.col(seq).desc_nulls_last(), *sortable(log, (key, seq))).limit(1).where(~F.coalesce(gone, F.lit(False)))
 
 
 def compacted(levels: Iterable[DataFrame], key: str, seq: str, gone: Column, bottom: bool = True) -> DataFrame:
@@ -94,11 +94,11 @@ def conflicts(mine: DataFrame, log: DataFrame, key: str, began: int | Column, co
 
 
 def write_conflicts(versions: DataFrame, key: str, began: str, committed: str, writer: str) -> DataFrame:
-    """All write-write conflicts of a log: (key, earlier writer, later writer).
+    """Write-write conflicts of a log between neighbours: (key, earlier writer, later writer).
 
     Two transactions conflict if the later one to commit began before the
-    earlier one's commit. Only neighbours by commit time are named: a key's
-    first committer wins over each follower in turn.
+    earlier one's commit. Of each write only its conflict with the one committed
+    just before it is named; that is enough to say whether it had to fail.
     """
     order = Window.partitionBy(key).orderBy(committed, writer)
     seen = versions.withColumns({"_writer": F.lag(writer).over(order), "_committed": F.lag(committed).over(order)})

@@ -1,4 +1,4 @@
-"""A small HTTP front: health, collections, query, import and batch.
+"""A small HTTP front: health, collections, query (with limit and offset), import and batch.
 
 One request at a time, as the session has one state; for many users Spark
 Connect or the Thrift server are the better front.
@@ -11,6 +11,8 @@ from dataclasses import asdict
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from quern.operators.relational import cut
+
 from .batch import run_batch
 from .session import Session
 
@@ -31,7 +33,13 @@ def answer(session: Session, method: str, target: str, body: str) -> tuple[int,
     if method == "GET" and url.path == "/collections":
         return 200, json.dumps(collections(session))
     if method == "POST" and url.path == "/query":
-        return 200, session.execute(body).json()
+        result, page = session.execute(body), parse_qs(url.query)
+        if result.df is not None and ("limit" in page or "offset" in page):
+            numbers = [page.get(k, [v])[0] for k, v in (("limit", ""), ("offset", "0"))]
+            if not all(x.isdigit() for x in numbers if x):
+                return 400, json.dumps({"ok": False, "err_code": "SYNTAX", "err_msg": "limit and offset are whole numbers"})
+            result.df = cut(result.df, int(numbers[0]) if numbers[0] else None, int(numbers[1] or 0))
+        return 200, result.json()
     if method == "POST" and url.path == "/import":
         name = parse_qs(url.query).get("coll", [""])[0]
         if not name:

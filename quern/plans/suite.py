@@ -24,8 +24,8 @@ from .parser import parse
 from .session import Session
 from .syntax import Aggregate, Change
 
-#: Tables and the field that orders their documents.
-TABLES = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "labels": "doc_id", "benchmark": "item_id"}
+#: Tables and the fields that order their documents.
+TABLES: dict[str, str | tuple[str, ...]] = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "lineitem": ("l_orderkey", "l_linenumber"), "events": "event_id", "documents": "doc_id", "pages": "page_id", "conversations": ("conv_id", "turn"), "labels": "doc_id", "benchmark": "item_id"}
 
 Build = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Build] = {}
@@ -88,7 +88,7 @@ say("flagship", FLAGSHIP, "SELECT * FROM lineitem WHERE l_quantity > 45 AND l_re
 say("scan_nation", "funden nation", "SELECT * FROM nation")
 say("point_read", "funden orders haar o_orderkey $bg 7", "SELECT * FROM orders WHERE o_orderkey = 7")
 say("limit_offset_orders", "funden orders orange bi o_orderkey lime 20 skopan 40", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 40")
-say("sort_asc", "funden supplier orange bi s_acctbal asc, s_suppkey", "SELECT * FROM supplier")
+say("sort_asc", "funden supplier orange bi s_acctbal asc, s_suppkey", "SELECT * FROM supplier ORDER BY s_acctbal, s_suppkey")
 say("sort_desc_multi", "funden customer orange bi c_nationkey desc, c_acctbal desc, c_custkey lime 50", "SELECT * FROM customer ORDER BY c_nationkey DESC, c_acctbal DESC, c_custkey LIMIT 50")
 say("topk_desc", "funden part orange bi p_retailprice desc, p_partkey lime 10", "SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
 say("sort_offset", "funden part orange bi p_size, p_partkey lime 10 skopan 5", "SELECT * FROM part ORDER BY p_size, p_partkey LIMIT 10 OFFSET 5")
@@ -114,7 +114,7 @@ for _name, _where, _sql in (
     ("filter_left_assoc", 'o_orderstatus $bg "P" $vor o_orderstatus $bg "F" $vand o_totalprice $lh 50000', "(o_orderstatus = 'P' OR o_orderstatus = 'F') AND o_totalprice < 50000"),
     ("filter_and_not", 'o_custkey $lh 50 $vand $vnot o_orderstatus $bg "F"', "o_custkey < 50 AND NOT o_orderstatus = 'F'"),
     ("filter_str_range", 'o_orderpriority $bhb "2" $vand o_orderpriority $lh "4"', "o_orderpriority >= '2' AND o_orderpriority < '4'"),
-    ("filter_mixed_type", 'o_orderstatus $bg 5 $vor o_custkey $bg "10"', "false"),
+    ("filter_mixed_type", 'o_orderstatus $bg 5 $vor o_custkey $bg "10" $vor o_custkey $bg 11', "o_custkey = 11"),
 ):
     say(_name, f"funden orders haar {_where}", f"SELECT * FROM orders WHERE {_sql}")
 for _name, _where, _sql in (
@@ -176,14 +176,31 @@ say(
 say("lookup_no_target", "funden nation $rasoat x tu nowhere on n_regionkey $bg r", "SELECT * FROM nation")
 
 
+LINE = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _line(alias: str) -> str:
+    return ", ".join(f"{c} AS {alias}{c}" for c in LINE)
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace(".", "_") for c in df.columns])
 
 
+say(
+    "lookup_first_line",
+    "funden orders $rasoat l tu lineitem on o_orderkey $bg l_orderkey",
+    f"SELECT o.*, {_line('l_')} FROM orders o LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(('l_linenumber', *(c for c in LINE[1:] if c != 'l_linenumber')))}) = 1) l ON o_orderkey = l_orderkey",
+)
+add(
+    "lookup_ties",
+    lambda s, d: _flat(R.lookup_first(read(s, d, "orders"), read(s, d, "lineitem"), "o_orderkey", "l_orderkey", "l", "l_orderkey")),
+    f"SELECT o.*, {_line('l_')} FROM orders o LEFT JOIN (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE[1:])}) = 1) l ON o_orderkey = l_orderkey",
+)
 add("lookup_inner_first", lambda s, d: _flat(R.lookup_first(read(s, d, "customer"), read(s, d, "orders"), "c_custkey", "o_custkey", "o", "o_orderkey", "inner")), f"SELECT c.*, {_PREFIXED} FROM customer c JOIN ({_FIRST}) r ON c.c_custkey = r.o_custkey")
 add("lookup_all", lambda s, d: _flat(R.lookup_all(read(s, d, "supplier"), read(s, d, "nation"), "s_nationkey", "n_nationkey", "n")), "SELECT s.*, n_nationkey AS n_n_nationkey, n_name AS n_n_name, n_regionkey AS n_n_regionkey FROM supplier s LEFT JOIN nation ON s_nationkey = n_nationkey")
 add("join_semi", lambda s, d: read(s, d, "customer").join(read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi"), "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-add("join_anti", lambda s, d: read(s, d, "customer").join(read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti"), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("join_anti", lambda s, d: read(s, d, "customer").join(read(s, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti"), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 add(
     "lookup_collected",
     lambda s, d: R.collected(read(s, d, "region"), read(s, d, "nation"), "r_regionkey", "n_regionkey", "nations").select("r_name", F.size("nations").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("nations", lambda x: x["n_name"])), ",").alias("names")),
@@ -269,6 +286,109 @@ def _variant_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("variant_filter", _variant_filter, "SELECT event_id FROM events WHERE (event_type <> 'view' AND value > 50) OR event_type = 'view'")
 
+def _jsonl_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field that is a number in some lines and a string in others keeps both types through the import."""
+    path = scratch(spark, "mixed")
+    value = F.when(F.col("event_type") == "view", F.lit('"view"')).otherwise(F.coalesce(F.col("value").cast("string"), F.lit("null")))
+    read(spark, sf_dir, "events").select(F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"x":'), value, F.lit("}"))).write.text(path)
+    df = jsonl.read_file(spark, path)[0]
+    return df.where(condition(df, parse('funden t haar x $bh 50 $vor x $bg "view"').where)).select(F.col("event_id").cast("long").alias("event_id"))
+
+
+add("jsonl_mixed_types", _jsonl_mixed, "SELECT event_id::BIGINT AS event_id FROM events WHERE (event_type <> 'view' AND value > 50) OR event_type = 'view'")
+
+
+def _jsonl_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\n".join(r[0] for r in read(spark, sf_dir, "nation").select(F.to_json(F.struct("*"))).collect())  # a body that the driver holds
+    return jsonl.read_buffer(spark, text)[0]
+
+
+add("jsonl_buffer", _jsonl_buffer, "SELECT n_name, n_nationkey::DOUBLE AS n_nationkey, n_regionkey::DOUBLE AS n_regionkey FROM nation")
+
+
+def _mixed_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A field of two types orders by type, then by value."""
+    df = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "view", F.col("event_type").cast("variant")).otherwise(F.col("value").cast("variant")).alias("x"))
+    return Session(spark, tables={"t": (df, "event_id")}).sql("funden t orange bi x desc, event_id lime 600").select("event_id")
+
+
+add("sort_mixed_types", _mixed_sort, "SELECT event_id FROM events ORDER BY (event_type = 'view' OR value IS NULL)::INT DESC, CASE WHEN event_type <> 'view' THEN value END DESC NULLS LAST, event_id LIMIT 600")
+
+
+def _own_table(name: str, statement: str, df: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    add(name, lambda s, d: _flat(Session(s, tables={"t": (df(s, d), "id")}).sql(statement)), sql)
+
+
+_own_table("flat_keys", 'funden t haar home.city $xau "A" orange bi home.city desc lime 10', lambda s, d: read(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("home.city")), "SELECT n_nationkey AS id, n_name AS home_city FROM nation WHERE contains(n_name, 'A') ORDER BY 2 DESC LIMIT 10")
+_own_table("gb_bool_key", "gomail t gremb bi big pou n, maf o_totalprice", lambda s, d: read(s, d, "orders").withColumn("big", F.col("o_totalprice") > 100000), "SELECT o_totalprice > 100000 AS big, count(*) AS pou_n, max(o_totalprice) AS maf_o_totalprice FROM orders GROUP BY 1")
+
+#: Statements one after another in a new store, each with the code of its error, or none.
+STATEMENTS = (
+    ("madeco shops", ""),
+    ("madeco shops", "EXISTS"),
+    ('vietinfo shops [{name: "A", size: 3}, {name: "B", size: 5}, {name: "C"}]', ""),
+    ("madecoidu shops.name", ""),
+    ("madecoidu shops.name", "EXISTS"),
+    ("analyze shops", ""),
+    ("exepanus funden shops haar name $bg \"B\"", ""),
+    ("usf other", ""),
+    ("skill shops", ""),
+    ("skill", ""),
+    ("ginan", ""),
+    ("ginan", "TX_LIMIT"),
+    ('cochin shops haar name $bg "A" $quy size 9', ""),
+    ("tulaberk", ""),
+    ("tulaberk", "NO_TX"),
+    ("ginan", ""),
+    ('cochin shops haar name $bg "B" $quy size 7', ""),
+    ("cometi", ""),
+    ("cometi", "NO_TX"),
+    ('demlet shops haar name $bg "C"', ""),
+    ("delecoidu shops.name", ""),
+    ("delecoidu shops.name", "NOT_FOUND"),
+    ("madeco gone", ""),
+    ("delco gone", ""),
+    ("delco gone", "NO_COLLECTION"),
+)
+
+
+def _statements(spark: SparkSession) -> tuple[Session, list[tuple[int, str]]]:
+    x = Session(spark, scratch(spark, "statements"), tables={})
+    return x, [(i, x.execute(s).code) for i, (s, _) in enumerate(STATEMENTS)]
+
+
+add("catalog_statements", lambda s, d: s.createDataFrame(_statements(s)[1], "step int, code string"), "VALUES " + ", ".join(f"({i}, '{code}')" for i, (_, code) in enumerate(STATEMENTS)))
+_ORACLES["catalog_statements"] = f"SELECT col0::INT AS step, col1 AS code FROM ({_ORACLES['catalog_statements']})"
+add("tx_commit", lambda s, d: _statements(s)[0].sql("funden shops"), "SELECT * FROM (VALUES (1.0::DOUBLE, 'A', 3.0::DOUBLE), (2.0, 'B', 7.0)) t(id, name, size)")
+add("stats_kept", lambda s, d: _statements(s)[0].statistics("shops").drop("distinct"), "SELECT * FROM (VALUES ('id', 3, 0, 1.0::DOUBLE, 3.0::DOUBLE, 2.0::DOUBLE), ('name', 3, 0, NULL, NULL, NULL), ('size', 2, 1, 3.0, 5.0, 4.0)) t(field, present, missing, low, high, mean)")
+
+
+def _import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = Session(spark, scratch(spark, "counts"), tables={})
+    x.run(parse("ginan"))
+    seen = x.load("t", text='{"a": 1}\n# note\n\n{"a": "x", "id": 40}\n{broken\n{"id": "none", "a": 2}')
+    x.run(parse("cometi"))
+    row = (seen.lines_read, seen.docs_inserted, seen.parse_errors, seen.insert_errors, x.sql('funden t haar a $bg "x"').count())
+    return spark.createDataFrame([row], "lines_read int, docs_inserted int, parse_errors int, insert_errors int, strings long")
+
+
+add("import_counts", _import_counts, "SELECT 6 AS lines_read, 2 AS docs_inserted, 1 AS parse_errors, 1 AS insert_errors, 1::BIGINT AS strings")
+
+
+def _index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An indexed field has Bloom filters in the files, which readers skip by."""
+    x = Session(spark, scratch(spark, "index"), tables={})
+    state = x.store.read().draft()
+    df = read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("double").alias("id"), F.col("c_name").alias("name"))
+    x._made("customers", state).indexes.append("name")
+    state.collections["customers"].add(x.store.write(df, ["name"]))
+    x.store.publish(state)
+    return x.sql('funden customers haar name $bg "Customer#000000042"')
+
+
+add("index_lookup", _index_lookup, "SELECT c_custkey::DOUBLE AS id, c_name AS name FROM customer WHERE c_name = 'Customer#000000042'")
+
+
 # Statistics.
 add(
     "stats_minmaxavg",
@@ -290,7 +410,8 @@ add(
     "SELECT b.bucket::INT AS bucket, v AS bound FROM (SELECT unnest(range(32)) AS bucket) b JOIN (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS r, count(*) OVER () AS n FROM lineitem) x ON r = greatest((b.bucket + 1) * n // 32, 1)",
 )
 add("stats_selectivity", lambda s, d: stats.selectivity(read(s, d, "lineitem"), field("l_quantity") > 25).select(F.round("selectivity", 6).alias("selectivity")), "SELECT round(avg((l_quantity > 25)::INT), 6) AS selectivity FROM lineitem")
-add("stats_sizes", lambda s, d: stats.sizes(read(s, d, "nation")).select("rows"), "SELECT count(*) AS rows FROM nation")
+add("stats_sizes", lambda s, d: stats.sizes(read(s, d, "nation")).withColumn("row_bytes", F.round("row_bytes", 6)), "SELECT count(*) AS rows, round(avg(strlen(to_json(nation)::VARCHAR)), 6) AS row_bytes FROM nation")
+add("stats_join_size", lambda s, d: stats.join_size(read(s, d, "customer"), read(s, d, "nation"), "c_nationkey", "n_nationkey", exact=True), "SELECT (SELECT count(*) FROM customer) * (SELECT count(*) FROM nation) / greatest((SELECT count(DISTINCT c_nationkey) FROM customer), (SELECT count(DISTINCT n_nationkey) FROM nation))::DOUBLE AS rows")
 
 # Versions and log-structured tables, over the events of each user.
 def _gone() -> Column:
@@ -298,6 +419,11 @@ def _gone() -> Column:
 
 
 add("mvcc_latest", lambda s, d: versions.newest(read(s, d, "events").drop("ts"), "user_id", "event_id"), "SELECT * EXCLUDE ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+add(
+    "mvcc_ties",
+    lambda s, d: versions.newest(read(s, d, "events").drop("ts").withColumn("seq", F.expr("event_id div 100")), "user_id", "seq"),
+    "SELECT * FROM (SELECT * EXCLUDE ts, event_id // 100 AS seq FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC, event_id) = 1",
+)
 add(
     "mvcc_asof",
     lambda s, d: versions.as_of(read(s, d, "events").drop("ts"), "user_id", "event_id", 600, _gone(), created_by="event_id", created="event_id", deleted=None),
@@ -325,8 +451,8 @@ add(
 )
 add(
     "tx_conflicts",
-    lambda s, d: versions.conflicts(read(s, d, "events").where("event_id < 100"), read(s, d, "events"), "user_id", 900, "event_id"),
-    "SELECT DISTINCT user_id FROM events WHERE event_id < 100 AND user_id IN (SELECT user_id FROM events WHERE event_id > 900)",
+    lambda s, d: versions.conflicts(read(s, d, "events").where("event_type = 'signup'"), read(s, d, "events"), "user_id", 900, "event_id"),
+    "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' AND user_id IN (SELECT user_id FROM events WHERE event_id > 900)",
 )
 add(
     "mvcc_recovered",

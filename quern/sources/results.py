@@ -6,8 +6,9 @@ import json
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from quern.functions.values import shown_number
+from quern.functions.values import field, shown_number
 
 
 def plain(value: object) -> object:
@@ -29,7 +30,13 @@ def documents(df: DataFrame):
         yield {k: plain(v) for k, v in zip(df.columns, row, strict=True) if v is not None}
 
 
+def save(df: DataFrame, path: str) -> None:
+    """Rows as JSON Lines files, written by the tasks: for results of any size."""
+    df.select(F.to_json(F.struct(*[field(c) for c in df.columns])).alias("value")).write.text(path)
+
+
 def as_json(result) -> str:
+    """The whole result as one text, which the driver must hold: cut it to a page, or ``save`` it."""
     if not result.ok:
         return json.dumps({"ok": False, "err_code": result.code, "err_msg": result.message}, ensure_ascii=False)
     docs = list(documents(result.df)) if result.df is not None else []

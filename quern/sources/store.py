@@ -135,6 +135,10 @@ class Store:
         writer.parquet(path)
         return Segment(path, seen.get["rows"], {f.name: f.dataType.simpleString() for f in df.schema.fields})
 
+    def remove(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def write_ids(self, ids: DataFrame) -> str:
         path = f"{self.root}/ids-{uuid.uuid4().hex}"
         ids.write.parquet(path)
@@ -170,8 +174,9 @@ class Store:
 
     def compact(self, c: Collection) -> Collection:
         """The same rows in one segment."""
-        out = Collection(dict(c.types), [], list(c.indexes), c.next_id)
-        out.add(self.write(self.frame(c), c.indexes))
+        out = Collection(dict(c.types), [], list(c.indexes), c.next_id, c.stats)
+        if c.segments:
+            out.add(self.write(self.frame(c), c.indexes))
         return out
 
     def export(self, root: str) -> Store:
@@ -206,7 +211,7 @@ class Store:
                 counts["versions"] += 1
         for f in files.listStatus(self._path()):
             name = f.getPath().getName()
-            if name.startswith(("seg-", "ids-", "stats-")) and name not in kept:
+            if name.startswith(("seg-", "ids-", "stats-", "load-")) and name not in kept:
                 files.delete(f.getPath(), True)
                 counts["files"] += 1
         return counts
