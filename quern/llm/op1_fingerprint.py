@@ -15,7 +15,8 @@ their text: one hash aggregate keeps ``k`` bigint minima a text, whose high 31
 bits order ``ln a`` and whose low 32 name the pair.
 
 Null and empty texts, and texts of spaces only, are the bag of one empty word;
-they equal each other and nothing else. Repeated rows each give a row.
+they equal each other and nothing else. Repeated rows each give a row. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,69 +105,99 @@ def as_text(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def ordered_buckets(df: DataFrame, key: str, parts: int) -> tuple[DataFrame, bool]:
-    """Deal rows to buckets that are ranges of ``key``, each with its follower.
+def _bucket(key: Column, tie: Column, firsts: list[tuple[int, int]]) -> Column:
+    """Number of the last bucket whose first (key, tie) isn't above the row's, by halves."""
+    keys, ties = F.lit([f[0] for f in firsts]), F.lit([f[1] for f in firsts])
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        k, t = F.get(keys, middle), F.get(ties, middle)
+        reached = (acc["lo"] < acc["hi"]) & ((k < key) | ((k == key) & (t <= tie)))
+        short = (acc["lo"] < acc["hi"]) & ~reached
+        return F.struct(F.when(reached, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(short, middle).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(firsts)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(firsts).bit_length()))
+    return F.aggregate(steps, start, step, lambda acc: F.greatest(acc["lo"] - 1, F.lit(0)))
+
+
+def ordered_buckets(df: DataFrame, key: str, tie: str, parts: int) -> DataFrame:
+    """Deal rows to buckets that are ranges of (``key``, ``tie``), each with its follower.
 
     Adds ``bucket`` and ``guest``; a row that begins a bucket also goes, as a
     guest, to the bucket before it, and the very first one to the last. A
     window within a bucket then sees every row's successor without one task
-    holding all rows. Bounds come from exact counts in 64 equal cells a bucket;
-    only these counts reach the driver.
+    holding all rows. Spark's own range partitioning of the two numbers, by a
+    sample, makes the buckets about equal whatever the values are; the first
+    pair of each, one a bucket, reaches the driver. No two rows may share both.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return df.withColumns({"bucket": F.lit(0), "guest": F.lit(0)}), False
-    n_cells = 64 * parts
-    cell = F.least(F.lit(n_cells - 1), ((F.col(key).cast("double") - float(lo)) * (n_cells / (float(hi) - float(lo) + 1.0))).cast("int"))
-    counts = sorted(df.groupBy(cell.alias("c")).agg(F.count("*"), F.min(key)).collect())
-    share, bucket_of, first, seen = sum(c[1] for c in counts) / parts, [0] * n_cells, [], 0
-    for c, n, least in counts:
-        if not first or seen >= share * len(first):
-            first.append(least)
-        bucket_of[c] = len(first) - 1
-        seen += n
-    homed = df.withColumn("bucket", F.get(F.lit(bucket_of), cell))
-    begins = F.col(key) == F.get(F.lit(first), F.col("bucket"))
-    before = F.when(F.col("bucket") == 0, F.lit(len(first) - 1)).otherwise(F.col("bucket") - 1)
-    own, guest = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("guest")), F.struct(before.alias("b"), F.lit(1).alias("guest"))
+    ranged = df.select(key, tie).repartitionByRange(parts, key, tie).groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct(key, tie)).alias("first"))
+    firsts = sorted((r["first"][0], r["first"][1]) for r in ranged.collect())
+    if not firsts:
+        return df.withColumns({"bucket": F.lit(0), "guest": F.lit(0)})
+    homed = df.withColumn("bucket", _bucket(F.col(key), F.col(tie), firsts))
+    at = F.col("bucket")
+    begins = (F.col(key) == F.get(F.lit([f[0] for f in firsts]), at)) & (F.col(tie) == F.get(F.lit([f[1] for f in firsts]), at))
+    before = F.when(at == 0, F.lit(len(firsts) - 1)).otherwise(at - 1)
+    own, guest = F.struct(at.alias("b"), F.lit(0).alias("guest")), F.struct(before.alias("b"), F.lit(1).alias("guest"))
     placed = homed.withColumn("place", F.explode(F.when(begins, F.array(own, guest)).otherwise(F.array(own))))
-    return placed.withColumns({"bucket": F.col("place.b"), "guest": F.col("place.guest")}).drop("place"), True
+    return placed.withColumns({"bucket": F.col("place.b"), "guest": F.col("place.guest")}).drop("place")
 
 
 def edited_likeness(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:
     """Each text against an edited copy and against its successor by doc_id.
 
-    A null doc_id comes before all others; equal doc_ids are ordered by text.
-    The texts are shuffled once, by ranges of doc_id.
+    A null doc_id comes before all others; texts that share a doc_id are ordered
+    by a hash. Texts are shuffled once, by ranges of doc_id and hash; rows that
+    repeat a text under its doc_id, if there are any, are counted before, in one
+    shuffle more, as each but the last is followed by its like. Columns other
+    than doc_id and text are not read.
     """
     parts = parts or 4 * shuffle_partitions(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed, _ = ordered_buckets(rows, "key", parts)
-    order = Window.partitionBy("bucket").orderBy("guest", "key", "text")
-    n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.expr("substring(next_text, 1, int(char_length(text) div 2))"))
-    seen = (
-        placed.withColumns({"next_text": F.lead("text").over(order), "at": F.row_number().over(order)})
-        .withColumns({"n_chars": n.cast("long"), "half": half, "edited": F.when(F.col("guest") == 0, edited)})
-        .withColumn("edited_sha256", F.sha2(F.col("edited"), 256))
-    )
-    one = F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"))
-    two = F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))
-    kinds = seen.select("bucket", "guest", "at", "doc_id", "n_chars", "edited_sha256", F.explode(F.when(F.col("guest") == 0, F.array(one, two)).otherwise(F.array(one))).alias("x"))
-    flat = kinds.select("bucket", "guest", "at", "doc_id", "n_chars", "edited_sha256", F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
-    signed = fingerprints(flat, ["bucket", "guest", "at", "doc_id", "n_chars", "edited_sha256", "kind"], "t", k)
+    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text", F.col("doc_id").isNull()))
+    again = not rows.groupBy("key", "tie").count().where("count > 1").isEmpty()
+    if again:
+        rows = rows.groupBy("key", "doc_id", "tie").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    else:
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    placed = ordered_buckets(rows, "key", "tie", parts)
+    order = Window.partitionBy("bucket").orderBy("guest", "key", "tie")
+    n = F.char_length("text")
+    edited = lambda after: F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.expr(f"substring({after}, 1, int(char_length(text) div 2))"))
+    seen = placed.withColumns({"next_text": F.lead("text").over(order), "at": F.row_number().over(order), "n_chars": n.cast("long")})
+    shape = ["bucket", "guest", "at", "doc_id", "n_chars", "copies"]
+    plain = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("t"))
+    texts = F.when(F.col("guest") == 1, F.array(plain(0, F.col("text"))))
+    if again:  # the edited text of a row that its like follows
+        texts = texts.when(F.col("copies") > 1, F.array(plain(0, F.col("text")), plain(1, edited("next_text")), plain(3, edited("text"))))
+    texts = texts.otherwise(F.array(plain(0, F.col("text")), plain(1, edited("next_text"))))
+    flat = seen.select(*shape, F.explode(texts).alias("x")).select(*shape, F.col("x.kind").alias("kind"), F.when(F.col("x.kind") > 0, F.sha2(F.col("x.t"), 256)).alias("sha"), F.col("x.t").alias("t"))
+    signed = fingerprints(flat, [*shape, "kind", "sha"], "t", k)
     by_place = Window.partitionBy("bucket").orderBy("at", "kind")
-    found = signed.withColumns({"edited_signature": F.lead("signature", 1).over(by_place), "next_signature": F.lead("signature", 2).over(by_place)})
-    return found.where("guest = 0 and kind = 0").select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        as_text(F.col("signature")).alias("fingerprint"),
-        as_text(F.col("edited_signature")).alias("edited_fingerprint"),
-        likeness(F.col("signature"), F.col("edited_signature"), k).alias("near_edited"),
-        likeness(F.col("signature"), F.col("next_signature"), k).alias("near_next"),
-    )
+    ahead = lambda name, by: F.lead(name, by).over(by_place)
+    found = signed.withColumns({"edited": ahead("signature", 1), "edited_sha256": ahead("sha", 1), "one": ahead("signature", 2), "one_kind": ahead("kind", 2), "one_sha": ahead("sha", 2), "two": ahead("signature", 3)})
+    found = found.where("guest = 0 and kind = 0")
+    like = F.coalesce(F.col("one_kind") == 3, F.lit(False)) & (F.col("copies") > 1)
+    followed = F.when(like, F.col("two")).otherwise(F.col("one"))
+
+    def out(df: DataFrame, edited_signature: Column, next_signature: Column, sha: Column) -> DataFrame:
+        return df.select(
+            "doc_id",
+            "n_chars",
+            sha.alias("edited_sha256"),
+            as_text(F.col("signature")).alias("fingerprint"),
+            as_text(edited_signature).alias("edited_fingerprint"),
+            likeness(F.col("signature"), edited_signature, k).alias("near_edited"),
+            likeness(F.col("signature"), next_signature, k).alias("near_next"),
+        )
+
+    if not again:
+        return out(found, F.col("edited"), F.col("one"), F.col("edited_sha256"))
+    cases = F.array(F.struct(F.col("edited").alias("e"), followed.alias("n"), F.col("edited_sha256").alias("s")))
+    inner = F.array_repeat(F.struct(F.col("one").alias("e"), F.col("signature").alias("n"), F.col("one_sha").alias("s")), (F.col("copies") - 1).cast("int"))
+    every = found.withColumn("case", F.explode(F.when(like, F.concat(cases, inner)).otherwise(cases)))
+    return out(every, F.col("case.e"), F.col("case.n"), F.col("case.s"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

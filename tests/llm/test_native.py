@@ -1,11 +1,13 @@
 """Operators that SQL can express, and the native ones against brute force."""
 
 import hashlib
+import math
 import re
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quern.llm import op1_fingerprint, op2_revisits, op4_url_rules, op5_licenses, op6_pii
@@ -89,6 +91,64 @@ def test_fingerprints_of_odd_texts(spark):
     assert op1_fingerprint.edited_likeness(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def slow_fingerprint(text, k):
+    """The sampler word by word: Spark hashes a string, long or int as xxHash64 of its bytes."""
+    words = words_of(text.lower()) or [""]
+    out = []
+    for j in range(k):
+        best = None
+        for w in sorted(set(words)):
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            h_bytes = h.to_bytes(8, "little")
+            x, z = (xxhash.xxh64_intdigest((op1_fingerprint.SEED + 2 * j + i).to_bytes(4, "little"), xxhash.xxh64_intdigest(h_bytes, 42)) for i in (0, 1))
+            unit = lambda bits, n: (bits + 0.5) / (1 << n)
+            r = -math.log(unit(x >> 43, 21) * unit(x >> 22 & (1 << 21) - 1, 21))
+            beta = unit(x & (1 << 21) - 1, 21)
+            log_c = math.log(-math.log(unit(z >> 32, 32) * unit(z & (1 << 32) - 1, 32)))
+            t = math.floor(math.log(words.count(w)) / r + beta)
+            rank = int((log_c - r * (t - beta) - r + 96.0) * (1 << 24))
+            key = rank << 32 | (z ^ t << 11) & (1 << 32) - 1
+            best = key if best is None else min(best, key)
+        out.append(f"{best & (1 << 32) - 1:08x}")
+    return "".join(out)
+
+
+def test_fingerprints_equal_the_slow_sampler(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(str(x) for x in rng.zipf(1.5, 60) % 50)) for i in range(20)] + [(30, "Ä ä x"), (31, "")]
+    got = op1_fingerprint.edited_likeness(spark.createDataFrame(rows, DOCS), parts=3).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {i: slow_fingerprint(t, op1_fingerprint.K) for i, t in rows}
+
+
+@pytest.mark.parametrize("odd", [[], [None] * 300, [10**15], [7] * 900, [None, 10**15, -(10**15)] * 50])
+def test_buckets_are_about_equal_whatever_the_ids(spark, odd):
+    rows = [(k, f"text {i}") for i, k in enumerate([*range(1000), *odd])]
+    df = spark.createDataFrame(rows, DOCS).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie")).repartition(5)
+    got = op1_fingerprint.ordered_buckets(df, "key", "tie", 8)
+    sizes = [r["count"] for r in got.groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) + len(sizes) and max(sizes) <= 4 * len(rows) / 8
+    placed = sorted((r["bucket"], r["guest"], r["key"], r["tie"]) for r in got.collect())
+    own = [(k, t) for _, guest, k, t in placed if not guest]
+    assert own == sorted(own) and sum(guest for _, guest, _, _ in placed) == len(sizes)
+
+
+def test_each_text_is_followed_by_the_next(spark):
+    """Repeated rows, ids and null ids: every row against a plain loop over the sorted rows, however they lie."""
+    rows = [(1, "a b c d"), (1, "a b c d"), (1, "a b c d"), (1, "other words"), (None, "n one two"), (None, "n three four"), (None, "n one two"), (5, "x y z"), (9, None), (9, "")]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, DOCS).repartition(n)
+        got = op1_fingerprint.edited_likeness(df, parts=4).collect()
+        hashed = spark.createDataFrame(rows, DOCS).select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("h", F.xxhash64("t", F.col("doc_id").isNull())).collect()
+        order = sorted((-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["h"], r["t"], r["doc_id"]) for r in hashed)
+        want = []
+        for i, (_, _, t, k) in enumerate(order):
+            after = order[(i + 1) % len(order)][2]
+            edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+            same = sum(a == b for a, b in zip(*(re.findall("." * 8, slow_fingerprint(x, op1_fingerprint.K)) for x in (t, after)), strict=True))
+            want.append((str(k), len(t), hashlib.sha256(edited.encode()).hexdigest(), slow_fingerprint(edited, op1_fingerprint.K), same / op1_fingerprint.K))
+        assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["edited_fingerprint"], r["near_next"]) for r in got) == sorted(want)
+
+
 # 2
 
 
