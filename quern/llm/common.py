@@ -99,6 +99,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def reached(bounds: list[tuple[int, ...]], values: list[Column]) -> Column:
+    """How many of some ascending bounds are not above the row's values, by halves; an array of longs each on every task."""
+    parts = [F.lit([b[i] for b in bounds]) for i in range(len(values))]
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.lit(True)
+        for part, value in reversed(list(zip(parts, values, strict=True))):
+            at = F.get(part, middle)
+            below = (at < value) | ((at == value) & below)
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(acc["hi"]).alias("hi"))
+
+    if not bounds:
+        return F.lit(0)
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step, lambda acc: acc["lo"])
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

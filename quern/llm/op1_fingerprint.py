@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions, table
+from .common import reached, shuffle_partitions, table
 
 K = 32
 SEED = 7919
@@ -105,22 +105,6 @@ def as_text(signature: Column) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
 
 
-def _bucket(key: Column, tie: Column, firsts: list[tuple[int, int]]) -> Column:
-    """Number of the last bucket whose first (key, tie) isn't above the row's, by halves."""
-    keys, ties = F.lit([f[0] for f in firsts]), F.lit([f[1] for f in firsts])
-
-    def step(acc: Column, _: Column) -> Column:
-        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        k, t = F.get(keys, middle), F.get(ties, middle)
-        reached = (acc["lo"] < acc["hi"]) & ((k < key) | ((k == key) & (t <= tie)))
-        short = (acc["lo"] < acc["hi"]) & ~reached
-        return F.struct(F.when(reached, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(short, middle).otherwise(acc["hi"]).alias("hi"))
-
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(firsts)).alias("hi"))
-    steps = F.sequence(F.lit(1), F.lit(len(firsts).bit_length()))
-    return F.aggregate(steps, start, step, lambda acc: F.greatest(acc["lo"] - 1, F.lit(0)))
-
-
 def ordered_buckets(df: DataFrame, key: str, tie: str, parts: int) -> DataFrame:
     """Deal rows to buckets that are ranges of (``key``, ``tie``), each with its follower.
 
@@ -135,7 +119,7 @@ def ordered_buckets(df: DataFrame, key: str, tie: str, parts: int) -> DataFrame:
     firsts = sorted((r["first"][0], r["first"][1]) for r in ranged.collect())
     if not firsts:
         return df.withColumns({"bucket": F.lit(0), "guest": F.lit(0)})
-    homed = df.withColumn("bucket", _bucket(F.col(key), F.col(tie), firsts))
+    homed = df.withColumn("bucket", F.greatest(reached(firsts, [F.col(key), F.col(tie)]) - 1, F.lit(0)))
     at = F.col("bucket")
     begins = (F.col(key) == F.get(F.lit([f[0] for f in firsts]), at)) & (F.col(tie) == F.get(F.lit([f[1] for f in firsts]), at))
     before = F.when(at == 0, F.lit(len(firsts) - 1)).otherwise(at - 1)

@@ -176,11 +176,23 @@ def test_revisits_by_validators_and_time(spark):
         assert got == [(11, "resolved", 1), (12, "resolved", 1), (13, "changed", None), (14, "resolved", 3), (15, "unchecked", None), (16, "orphan", None), (17, "orphan", None), (18, "orphan", None), (18, "orphan", None)]
     head = next(r for r in df.collect() if r["id"] == 11)["headers"]
     assert head == {"etag": 'W/"1"', "content-length": "5", "x": "new", "age": "3"}
+    assert op2_revisits.resolve(spark.createDataFrame([(1, "a", 10, None), (9, "a", 10**15, {})], shape), spark.createDataFrame([(2, "a", 11, None), (3, "a", 12, {"etag": "x"})], shape)).select("status").collect() == [("unchecked",), ("changed",)]
     none = spark.createDataFrame([], shape)
     assert op2_revisits.resolve(none, spark.createDataFrame(asked, shape)).where("status = 'orphan'").count() == 9
     assert op2_revisits.resolve(none, none).count() == 0
 
 
+def test_revisits_of_a_hot_url_are_spread(spark):
+    """One URL, half of the captures without one, a date far out, a very long URL and header: what meets in a window stays small."""
+    shape = "id long, url string, time long, headers map<string,string>"
+    long = "u" * 300_000
+    full = [(i, "hot", 1000 + i, {"etag": f"{i}"}) for i in range(3000)] + [(9000, "hot", 10**15, {"etag": "far"}), (9001, long, 5, {"etag": "e", "x": "y" * 300_000})]
+    asked = [(10_000 + i, "hot", 1000 + i + 1, {"etag": f"{i}"}) for i in range(3000)] + [(20_000 + i, None, i, None) for i in range(3000)] + [(30_000, long, 6, {"etag": "e"})]
+    df = op2_revisits.resolve(spark.createDataFrame(full, shape), spark.createDataFrame(asked, shape), 32)
+    got = {r["id"]: (r["status"], r["response_id"]) for r in df.select("id", "status", "response_id").collect()}
+    assert got == {**{10_000 + i: ("resolved", i) for i in range(3000)}, **{20_000 + i: ("orphan", None) for i in range(3000)}, 30_000: ("resolved", 9001)}
+
+
 @pytest.mark.parametrize(
     "url, want",
     [("HTTP://WWW.A.org:80/x/?b=2&utm_source=q&a=1#f", "www.a.org/x?a=1&b=2"), ("https://a.org", "a.org"), ("https://a.org/", "a.org"), ("a.org/P?", "a.org/P"), ("http://a.org:8080/?ref=1", "a.org:8080"), (None, None)],
