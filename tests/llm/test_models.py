@@ -84,18 +84,56 @@ def test_mix_reaches_its_targets(spark, seed):
         assert abs(sum(by_target[n, round(want[s], 6)]) - want[s]) <= 1
 
 
-def test_schedule_keeps_proportions_all_along(spark):
-    plan = op3_mixing.shares({"a": 400_000, "b": 300_000, "c": 200_000})
-    slots = sorted(op3_mixing.schedule(spark, plan).collect())
-    need = [p.slots for p in plan]
-    for at, n in enumerate(need):
+@pytest.mark.parametrize("few", [op3_mixing.FEW, 0])
+def test_schedule_keeps_proportions_all_along(spark, monkeypatch, few):
+    monkeypatch.setattr(op3_mixing, "FEW", few)
+    sizes = {"a": 400_000, "b": 300_000, "c": 200_000, "tiny": 3}
+    sources = op3_mixing.plan(spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long"))
+    slots = sorted(op3_mixing.schedule(sources).collect())
+    plan = {r["at"]: r for r in sources.collect()}
+    need = {at: r["need"] for at, r in plan.items()}
+    assert [plan[k]["source"] for k in sorted(plan)] == sorted(sizes) and len({s["slot"] for s in slots}) == len(slots) == sum(need.values())
+    for at, n in need.items():
         turns = [s["turn"] for s in slots if s["at"] == at]
         assert turns == list(range(n))
-        assert sum(s["words"] for s in slots if s["at"] == at) == plan[at].words
+        assert sum(s["words"] for s in slots if s["at"] == at) == plan[at]["words"]
     for upto in range(50, len(slots), 50):
-        for at, n in enumerate(need):
+        for at, n in need.items():
             share = sum(s["at"] == at for s in slots[:upto])
-            assert abs(share - upto * n / sum(need)) < 4
+            assert abs(share - upto * n / sum(need.values())) < 4
+
+
+def test_mix_of_many_sources_equals_a_plain_loop(spark, monkeypatch):
+    """A source a row or two: targets, slots and what each document gives, by the range join as by the arrays."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), f"s{int(rng.integers(0, 200))}" if i % 3 else "hot") for i in range(600)] + [(1000, "w " * 500, None)]
+    df = docs(spark, rows)
+    usual = sorted(op3_mixing.mix(df, block=16).collect())
+    monkeypatch.setattr(op3_mixing, "FEW", 0)
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    assert sorted(op3_mixing.mix(df, block=16).collect()) == usual
+    sizes, size, source = {}, {}, {}
+    for i, t, s in rows:
+        size[i], source[i] = len(words_of(t)), s
+        sizes[s] = sizes.get(s, 0) + size[i]
+    want = brute_targets(sizes)
+    given = {}
+    for r in usual:
+        s = source[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (size[r["doc_id"]], sizes[s]) and abs(r["target"] - want[s]) < 1e-6 and r["taken"] <= 3 * r["size"]
+        given[s] = given.get(s, 0) + r["taken"]
+    assert all(abs(given[s] - want[s]) <= 1 for s in sizes)
+    # A source's documents stand in one order, and the mix takes its words from the first on, round after round.
+    parts = op3_mixing.scheduled(df, block=16).collect()
+    taken = {}
+    for r in parts:
+        assert 0 <= r["first_word"] < r["end_word"] <= size[r["doc_id"]] and r["end_word"] - r["first_word"] <= 16
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["end_word"] - r["first_word"]
+    assert {r["doc_id"]: r["taken"] for r in usual if r["taken"]} == taken
+    for s in sizes:
+        rounds, rest = divmod(round(given[s]), sizes[s]) if sizes[s] else (0, 0)
+        own = sorted(taken.get(i, 0) - rounds * size[i] for i in size if source[i] == s and size[i])
+        assert all(x >= 0 for x in own) and sum(own) == rest and sum(0 < x for x in own) - sum(x in {size[i] for i in size if source[i] == s} for x in own) <= 1
 
 
 def test_mix_of_nothing(spark):
