@@ -12,9 +12,13 @@ The vocabulary file gives pieces by rank, which Zipf's law turns into scores:
 each. Of splits with equal scores the one with fewer pieces counts.
 
 Each task keeps its own trie, at most ``NODES`` nodes, and begins a new one
-when it is full: memory stays bounded, results do not change. Nothing is
-shuffled. Null and empty texts have no tokens. The path of the vocabulary is a
-parameter; the driver reads it and the tasks get pieces and scores.
+when it is full; a word of more than ``LONG`` characters shares its prefix with
+none and goes through the same forward scores in a window as wide as the longest
+piece. So memory stays bounded, and results do not change. Nothing is shuffled.
+Null and empty texts have no tokens; repeated rows each give a row. An empty
+table gives an empty result. Columns other than the two named are not read, and
+these may have any name. The path of the vocabulary is a parameter; the driver
+reads it and the tasks get pieces and scores.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from .common import small_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_NO = object()
 UNKNOWN = -25.0
 NODES = 1_000_000
+LONG = 1_000
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[str, float]:
@@ -47,12 +53,13 @@ class Trie:
     """Nodes are prefixes; ``best`` and ``count`` of a node are those of its best split."""
 
     def __init__(self, scores: dict[str, float]):
-        self.scores = scores
-        # Ends of pieces by last character, so that few lengths are tried.
-        lengths: dict[str, set[int]] = {}
+        self.longest = max(map(len, scores), default=1)
+        # All ends of pieces, so that a search from the right stops where no piece goes on; of a whole piece its score.
+        self.ends: dict[str, float | None] = {}
         for piece in scores:
-            lengths.setdefault(piece[-1], set()).add(len(piece))
-        self.lengths = {c: sorted(n) for c, n in lengths.items()}
+            for k in range(1, len(piece)):
+                self.ends.setdefault(piece[k:], None)
+        self.ends |= scores
         self.clear()
 
     def clear(self) -> None:
@@ -62,22 +69,22 @@ class Trie:
 
     def add(self, word: str) -> int:
         """Insert a pre-token; the number of pieces of its best split."""
-        child, best, count, scores = self.child, self.best, self.count, self.scores
-        node, path, text = 0, [0], ""
+        if len(word) > LONG:
+            return self.rolled(word)
+        child, best, count, ends = self.child, self.best, self.count, self.ends
+        node, path = 0, [0]
         for i, c in enumerate(word):
             step = node << 21 | ord(c)
             after = child.get(step)
             if after is None:
-                if not text:
-                    text = word
                 size = len(c.encode("utf-8", "surrogatepass"))
                 top, n = best[node] + UNKNOWN * size, count[node] + size
-                for k in self.lengths.get(c, ()):
-                    if k > i + 1:
+                for k in range(i, -1, -1):
+                    score = ends.get(word[k : i + 1], _NO)
+                    if score is _NO:
                         break
-                    score = scores.get(text[i + 1 - k : i + 1])
                     if score is not None:
-                        before = path[i + 1 - k]
+                        before = path[k]
                         total = best[before] + score
                         if total > top or (total == top and count[before] + 1 < n):
                             top, n = total, count[before] + 1
@@ -88,9 +95,29 @@ class Trie:
             path.append(node)
         return count[node]
 
+    def rolled(self, word: str) -> int:
+        """As ``add``, with the last forward scores only and no node."""
+        wide = self.longest + 1
+        best, count = [0.0] * wide, [0] * wide
+        for i, c in enumerate(word):
+            size = len(c.encode("utf-8", "surrogatepass"))
+            top, n = best[i % wide] + UNKNOWN * size, count[i % wide] + size
+            for k in range(i, max(-1, i - self.longest), -1):
+                score = self.ends.get(word[k : i + 1], _NO)
+                if score is _NO:
+                    break
+                if score is not None:
+                    total = best[k % wide] + score
+                    if total > top or (total == top and count[k % wide] + 1 < n):
+                        top, n = total, count[k % wide] + 1
+            best[(i + 1) % wide], count[(i + 1) % wide] = top, n
+        return count[len(word) % wide]
+
     def tokens(self, words: list[bytes]) -> int:
         known = self.known
         for word in {w for w in words if w not in known}:
+            if len(word) > LONG:  # words, not only nodes, would fill the memory
+                return sum(map(self.one, words))
             if len(self.best) > NODES:
                 self.clear()
                 known = self.known
@@ -103,6 +130,8 @@ class Trie:
         if len(self.best) > NODES:
             self.clear()
         got = self.known.get(word)
+        if got is None and len(word) > LONG:
+            return self.rolled(MARK + word.decode("utf-8", "surrogatepass"))
         if got is None:
             got = self.known[word] = self.add(MARK + word.decode("utf-8", "surrogatepass"))
         return got

@@ -574,3 +574,31 @@ def test_trie_shares_prefixes():
     trie = op10_token_counts.Trie({"▁": -1.0, "a": -1.0, "b": -1.0, "ab": -1.5, "▁ab": -1.2})
     assert trie.add("▁abab") == 2 and trie.add("▁abb") == 2
     assert len(trie.best) == 1 + 5 + 1  # the root, five prefixes, one more for the second word
+
+
+def test_token_counts_equal_a_library_with_the_same_scores(spark, small):
+    """The words of sf0.001 whose characters all are pieces, encoded by another unigram implementation."""
+    tokenizers = pytest.importorskip("tokenizers")
+    scores = op10_token_counts.read_vocabulary()
+    model = tokenizers.Tokenizer(tokenizers.models.Unigram([("<unk>", -1000.0), *scores.items()], 0, False))
+    words = {w for r in table(spark, small, "documents").collect() for w in words_of(r["text"])}
+    words = sorted("▁" + w for w in words if all(c in scores for c in w))
+    trie = op10_token_counts.Trie(scores)
+    assert len(words) > 10_000 and [trie.add(w) for w in words] == [len(model.encode(w).ids) for w in words]
+
+
+def test_long_words_need_no_memory(spark):
+    import tracemalloc
+
+    scores = op10_token_counts.read_vocabulary()
+    word = "".join(np.random.default_rng(1).choice(list("abcdefgh-étn漢"), 400_000))
+    trie = op10_token_counts.Trie(scores)
+    tracemalloc.start()
+    got = trie.tokens([word.encode(), b"the", word.encode()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    short = op10_token_counts.Trie(scores)
+    cut = "▁" + word[:2000]
+    assert peak < 12_000_000 and len(trie.best) < 10 and trie.known.keys() <= {b"the"}
+    assert short.add(cut) == short.rolled(cut) == slow_count(cut[:300], scores) + short.rolled(cut) - short.rolled(cut[:300])
+    assert got == 2 * trie.rolled("▁" + word) + trie.add("▁the")
