@@ -309,6 +309,148 @@ modification, are permitted provided that the following conditions are met:
 2. Redistributions in binary form must reproduce the above copyright notice,
    this list of conditions and the following disclaimer in the documentation
    and/or other materials provided with the distribution.
+""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License
+as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+""",
+    "GPL-2.0-only": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License version 2
+as published by
+the Free Software Foundation.
+""",
+    "GPL-3.0-only": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License
+as published by
+the Free Software Foundation, version 3 of
+the License.
+""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or modify
+it under the terms of the GNU Lesser
+General Public License
+as published by
+the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+""",
+    "LGPL-2.1-only": """This library is free software; you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License version
+2.1 as published by
+the Free Software Foundation.
+""",
+    "LGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Lesser General Public License
+as published by
+the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License
+as published by
+the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+""",
+    "AGPL-3.0-only": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License,
+as published by
+the Free Software Foundation, version 3.
+""",
+    "Apache-2.0": """Copyright 2020 A B
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+   * Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+""",
+    "BSD-4-Clause": """1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. All advertising materials mentioning features or use of this software
+   must display the following acknowledgement:
+   This product includes software developed by A.
+""",
+    "BSL-1.0": """Copyright A 2006.
+Distributed under the Boost Software License,
+Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at
+http://www.boost.org/LICENSE_1_0.txt)
+""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS".
+""",
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "Zlib": """This software is provided 'as-is', without any express or implied
+warranty.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+""",
+    "Unlicense": """This is free and unencumbered software released into the
+public domain.
+""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all
+copyright and related and neighboring rights to this software to the
+public domain worldwide.
+""",
+    "EPL-2.0": """This program and the accompanying materials are made
+available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/
+""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in
+the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
+the Software, and to permit persons to whom the Software is furnished to do so.
+""",
+    "OFL-1.1": """This Font Software is licensed under the SIL Open Font License,
+Version 1.1.
+""",
+    "PostgreSQL": """Permission to use, copy, modify, and distribute this software and its
+documentation for any purpose, without fee, and without a written agreement
+is hereby granted, provided that the above copyright notice and this paragraph
+and the following two paragraphs appear in all copies.
+""",
+    "CDDL-1.0": """The contents of this file are subject to the terms of the
+Common Development and Distribution License (the "License").
+You may not use this file except in compliance with the License.
+""",
+    "WTFPL": """This program is free software. It comes without any warranty, to
+the extent permitted by applicable law. You can redistribute it
+and/or modify it under the terms of the Do What The Fuck You Want
+To Public License, Version 2, as published by Sam Hocevar.
 """,
     "GPL-3.0-or-later": """a.py is a part of B
 
@@ -335,8 +477,53 @@ def test_wrapped_licenses(spark):
     got = df.collect()
     assert [r["licenses"] for r in got] == [r["want"] for r in got]
     assert got[-4]["known"] == "apache-notice-the,apache-compliance"
+    assert len(WRAPPED) > 25
     for name in ("MIT", "GPL-3.0-or-later"):
-        assert {r["n_known"] for r in got[:15] if r["want"] == name} == {2}
+        assert {r["n_known"] for r in got[: 5 * len(WRAPPED)] if r["want"] == name} == {2}
+
+
+def words_and_ends(text):
+    """The words of a text, each with whether a sentence may end after it and begin before it, by a plain loop."""
+    out, at = [], 0
+    text = re.sub(r"(?i)(spdx-license-identifier):[ \t]*", r"\1 ", text)
+    for m in re.finditer(r"[^\W_]+", text):
+        gap = text[at : m.start()]
+        hard = bool(re.search(r"[.!?;:][ \t\r\n]", gap)) or gap.count("\n") > 1
+        out.append((m[0].lower(), hard, "\n" in gap or not out))
+        at = m.end()
+    return out
+
+
+def test_wrapped_licenses_equal_a_search_over_words(spark):
+    """Every known sentence in the stream of words, wherever its words stand between two ends."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for name, text in WRAPPED.items():
+        words = text.replace("\n\n", " \x00 ").split()
+        for width in (30, 57, 100):
+            lines, line = [], ""
+            for w in words:
+                if w == "\x00" or len(line) + len(w) > width:
+                    lines += [line, ""] if w == "\x00" else [line]
+                    line = "" if w == "\x00" else w
+                else:
+                    line = f"{line} {w}".strip()
+            texts.append((name, "\n".join(f"{rng.choice(['# ', '// ', ''])}{x}" for x in [*lines, line])))
+    texts += [(t, f"x = 1\n// SPDX-License-Identifier: {t}\nint y;") for t in op5_licenses.TAGS] + [("", "SPDX-License-Identifier: MITX\n"), ("", "MIT")]
+    got = op5_licenses.scan(spark.createDataFrame(texts, "want string, text string")).collect()
+    assert [r["licenses"] for r in got] == [r["want"] for r in got]
+    sentences = {tuple(w.split()): i for i, w in op5_licenses.SENTENCES}
+    for r in got:
+        stream, found, k = words_and_ends(r["text"]), [], 0
+        begins = [hard or line for _, hard, line in stream] + [True]
+        while k < len(stream):
+            fit = [s for s in sentences if tuple(w for w, _, _ in stream[k : k + len(s)]) == s and begins[k] and begins[k + len(s)] and not any(h for _, h, _ in stream[k + 1 : k + len(s)])]
+            if fit:
+                found.append(sentences[max(fit, key=len)])
+                k += max(map(len, fit))
+            else:
+                k += 1
+        assert r["known"] == ",".join(found), r["text"]
 
 
 def test_license_cues_are_blind_to_signs_and_spaces(spark, tmp_path):
