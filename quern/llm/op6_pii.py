@@ -6,8 +6,11 @@ labelers vote on each candidate, yes, no or not at all: its strict form, a
 gazetteer (top-level domains, card prefixes, area codes, reserved networks) and
 the words before it. Expectation-maximisation over the table of vote patterns
 (at most 27 a kind, whatever the corpus) estimates how reliable each labeler
-is; the posteriors train a naive Bayes classifier over votes, shape and
-surroundings, which says which of the loose candidates are spans as well.
+is. Its posteriors are the labels of the final span classifier, a naive Bayes
+model over what the labelers don't look at: the shape of the candidate, its
+length and digits, the characters on both sides and the word before, each in a
+bounded number of marks (``MARKS``), beside the votes. It says which of the loose
+candidates are spans as well. Both are fitted to counts over all candidates.
 
 Offsets are code points: the parts that ``split`` leaves between the matches of
 a pattern add up to them. Patterns are possessive and begin only where a run of
@@ -15,11 +18,15 @@ their characters begins, so that no text takes them more than linear time; this
 changes no match.
 
 Null and empty texts have no spans. Repeated rows each give a row. A kind
-without votes keeps its base spans and adds none.
+without votes keeps its base spans and adds none. An empty table gives an empty
+result. ``find`` reads the two columns named only, and these may have any name;
+``masked`` leaves all other columns as they are.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,22 +80,24 @@ def _blocks(items: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, where: Column, kind: int, strict: bool) -> Column:
-    """array<struct<start, kind, end, form, before, strict>> of the matches of a pattern, in order."""
+    """array<struct<start, kind, end, form, before, after, strict>> of the matches of a pattern, in order."""
     parts, forms = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,form:string,before:string,strict:boolean>>")
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,form:string,before:string,after:string,strict:boolean>>")
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["part"])
         end = begin + F.char_length(x["form"])
         before = F.lower(F.right(x["part"], F.lit(MOST_BEFORE)))
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["form"].alias("form"), before.alias("before"), F.lit(strict).alias("strict"))
+        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["form"].alias("form"), before.alias("before"), x["after"].alias("after"), F.lit(strict).alias("strict"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
     def run(done: Column, block: Column) -> Column:
         start = F.struct(F.element_at(done, -1)["at"].alias("at"), none.alias("out"))
         return F.concat(done, F.array(F.aggregate(block, start, step)))
 
-    pairs = F.zip_with(F.slice(parts, 1, F.size(forms)), forms, lambda p, f: F.struct(p.alias("part"), f.alias("form")))
+    gap = lambda p, q: F.struct(p.alias("part"), F.left(q, F.lit(1)).alias("after"))
+    pair = lambda g, f: F.struct(g["part"].alias("part"), g["after"].alias("after"), f.alias("form"))
+    pairs = _with(parts, lambda p: F.zip_with(F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), gap), forms, pair))
     begin = F.array(F.struct(F.lit(0).alias("at"), none.alias("out")))
     found = F.aggregate(_blocks(pairs), begin, run, lambda done: F.flatten(F.transform(done, lambda x: x["out"])))
     return F.when(where, found).otherwise(none)
@@ -130,7 +139,7 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def _votes(s: Column) -> Column:
-    """Votes of form, gazetteer and context, then shape: four letters."""
+    """Votes of form, gazetteer and context: three letters."""
     kind, form, digits = s["kind"], s["form"], _digits(s["form"])
     domain = F.lower(F.regexp_extract(form, r"([A-Za-z0-9-]+)$", 1))
     lined = form.rlike(r"^\+?[0-9]+([\x20.-]?[0-9]+)*$") | form.rlike(r"^(\+[0-9]{1,3}\x20)?\([0-9]{3}\)")
@@ -139,12 +148,39 @@ def _votes(s: Column) -> Column:
     known_yes = F.when(kind == 0, domain.isin(*DOMAINS)).when(kind == 1, F.lit(False)).when(kind == 2, digits.rlike(CARD_PREFIX)).otherwise(form.rlike(AREA))
     known_no = F.when(kind == 0, domain.rlike("^[0-9]+$")).when(kind == 1, form.rlike(RESERVED)).when(kind == 2, ~digits.rlike(CARD_PREFIX)).otherwise(digits.rlike("^1?[01]"))
     cue = lambda table_: reduce(lambda acc, i: F.when(kind == i, s["before"].rlike(table_[KINDS[i]])).otherwise(acc), range(1, 4), s["before"].rlike(table_[KINDS[0]]))
-    shape = F.when(s["strict"], F.when(form.rlike("^[0-9]+$"), "s").otherwise("m")).otherwise(F.when(form.rlike("^[0-9]+$"), "d").otherwise("l"))
-    return F.concat(_vote(form_yes, form_no), _vote(known_yes, known_no), _vote(cue(CUES), cue(AGAINST)), shape)
+    return F.concat(_vote(form_yes, form_no), _vote(known_yes, known_no), _vote(cue(CUES), cue(AGAINST)))
+
+
+#: How many marks each feature of the classifier has: shape, length, digits, both sides, word before, strict form, three votes.
+MARKS = (64, 12, 21, 6, 6, 256, 2, 3, 3, 3)
+_FIRST = [sum(MARKS[:i]) for i in range(len(MARKS))]
+ALL_MARKS = sum(MARKS)
+
+
+def _side(c: Column) -> Column:
+    """What stands beside a candidate: nothing, a letter, a digit, space, an opening sign, another sign."""
+    return F.when(c == "", 0).when(c.rlike(r"\p{L}"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\s"), 3).when(c.rlike(r"[(\[{<\"':=]"), 4).otherwise(5)
+
+
+def _marks(s: Column, votes: Column) -> Column:
+    """array<int>: one mark of each feature, numbered through."""
+    form = s["form"]
+    shape = F.regexp_replace(F.regexp_replace(form, "[0-9]+", "9"), "[A-Za-z]+", "a")
+    values = [
+        F.pmod(F.xxhash64(shape), F.lit(MARKS[0])).cast("int"),
+        F.least(F.floor(F.char_length(form) / 4).cast("int"), F.lit(MARKS[1] - 1)),
+        F.least(F.char_length(_digits(form)), F.lit(MARKS[2] - 1)),
+        _side(F.right(s["before"], F.lit(1))),
+        _side(s["after"]),
+        F.pmod(F.xxhash64(F.regexp_extract(s["before"], "([a-z]+)[^a-z]*$", 1)), F.lit(MARKS[5])).cast("int"),
+        s["strict"].cast("int"),
+        *[F.instr(F.lit("yn-"), F.substring(votes, i, 1)) - 1 for i in (1, 2, 3)],
+    ]
+    return F.array(*[v + first for v, first in zip(values, _FIRST, strict=True)])
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, kind, end, base, votes>> of a text, by start and then kind."""
+    """array<struct<start, kind, end, base, votes, marks>> of a text, by start and then kind."""
     text = F.coalesce(text, F.lit(""))
     digits = text.rlike("[0-9]")
     found = F.concat(
@@ -157,11 +193,12 @@ def candidates(text: Column) -> Column:
         _spans(text, PHONE_HOME, digits & text.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), 3, False),
     )
     checked = F.transform(found, lambda s: s.withField("holds", _holds(s)))
-    return F.sort_array(F.transform(checked, lambda s: F.struct(s["start"], s["kind"], s["end"], (s["strict"] & s["holds"]).alias("base"), _votes(s).alias("votes"))))
+    voted = F.transform(checked, lambda s: s.withField("votes", _votes(s)))
+    return F.sort_array(F.transform(voted, lambda s: F.struct(s["start"], s["kind"], s["end"], (s["strict"] & s["holds"]).alias("base"), s["votes"], _marks(s, s["votes"]).alias("marks"))))
 
 
 def estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> dict[tuple[int, str], float]:
-    """Probability of being a span for each (kind, votes) by EM and naive Bayes.
+    """Probability of being a span for each (kind, votes) by EM.
 
     Labelers are independent given the truth; each has, for a kind, its own
     rates of yes, no and silence among spans and among others. Rates begin
@@ -170,52 +207,93 @@ def estimate(counts: dict[tuple[int, str], int], rounds: int = 50) -> dict[tuple
     out: dict[tuple[int, str], float] = {}
     for kind in range(len(KINDS)):
         seen = {v: n for (k, v), n in counts.items() if k == kind}
-        patterns: dict[str, float] = {}
-        for v, n in seen.items():
-            patterns[v[:3]] = patterns.get(v[:3], 0) + n
-        belief = {v: (1 + 4 * v.count("y")) / (2 + 4 * v.count("y") + 4 * v.count("n")) for v in patterns}
+        belief = {v: (1 + 4 * v.count("y")) / (2 + 4 * v.count("y") + 4 * v.count("n")) for v in seen}
         for _ in range(rounds):
-            belief = _bayes({v: n for v, n in patterns.items()}, belief, 3)
-        out |= {(kind, v): p for v, p in _bayes(seen, {v: belief[v[:3]] for v in seen}, 4).items()}
+            belief = _round(seen, belief)
+        out |= {(kind, v): p for v, p in belief.items()}
     return out
 
 
-def _bayes(counts: dict[str, float], belief: dict[str, float], letters: int) -> dict[str, float]:
-    """One fit of class rates to soft labels, and the labels they give."""
-    kinds = [sorted({v[i] for v in counts} | (set("yn-") if i < 3 else set())) for i in range(letters)]
-    sums = [[{a: 0.5 + (2.0 if i < 3 and a == "ny"[c] else 0.0) for a in kinds[i]} for i in range(letters)] for c in (0, 1)]
+def _round(counts: dict[str, int], belief: dict[str, float]) -> dict[str, float]:
+    """Class rates from soft labels, and the labels that they give."""
+    sums = [[{a: 0.5 + (2.0 if a == "ny"[c] else 0.0) for a in "yn-"} for _ in range(3)] for c in (0, 1)]
     mass = [1.0, 1.0]
     for v, n in counts.items():
         for c, share in ((0, 1 - belief[v]), (1, belief[v])):
             mass[c] += n * share
-            for i in range(letters):
+            for i in range(3):
                 sums[c][i][v[i]] += n * share
     out = {}
     for v in counts:
         odds = [mass[c] for c in (0, 1)]
         for c in (0, 1):
-            for i in range(letters):
+            for i in range(3):
                 odds[c] *= sums[c][i][v[i]] / sum(sums[c][i].values())
         out[v] = odds[1] / (odds[0] + odds[1])
     return out
 
 
-def fit(spans: DataFrame, column: str = "found") -> dict[tuple[int, str], float]:
-    """Train on all candidates; only the counts of vote patterns reach the driver."""
-    flat = spans.select(F.explode(column).alias("s")).groupBy("s.kind", "s.votes").count()
-    return estimate({(r["kind"], r["votes"]): r["count"] for r in flat.collect()})
+#: So many candidates of a class weigh as much as what both classes have in common.
+SHRINK = 20.0
+
 
+@dataclass(frozen=True)
+class Classifier:
+    """Log odds of each kind and of each kind's marks."""
 
-def decide(found: Column, model: dict[tuple[int, str], float], threshold: float = THRESHOLD) -> Column:
+    prior: list[float]
+    weights: list[float]
+
+    def log_odds(self, s: Column) -> Column:
+        table_, prior = F.lit(self.weights), F.lit(self.prior)
+        return F.aggregate(s["marks"], F.get(prior, s["kind"]), lambda acc, m: acc + F.get(table_, s["kind"] * ALL_MARKS + m))
+
+
+def train(counts: dict[tuple[int, str, int], int]) -> Classifier:
+    """Naive Bayes from counts of (kind, votes, mark), labelled by EM over the votes.
+
+    A mark's rate in a class is drawn towards its rate in both, so a mark that
+    is rare says little. A candidate has one mark of each feature.
+    """
+    patterns = {(k, v): 0 for k, v, _ in counts}
+    for (k, v, m), n in counts.items():
+        patterns[k, v] += n if m < MARKS[0] else 0  # each candidate has one shape
+    belief = estimate(patterns)
+    prior, weights = [0.0] * len(KINDS), [0.0] * (len(KINDS) * ALL_MARKS)
+    for kind in range(len(KINDS)):
+        mass = [1.0, 1.0]
+        for (k, v), n in patterns.items():
+            if k == kind:
+                mass[1] += n * belief[k, v]
+                mass[0] += n * (1 - belief[k, v])
+        prior[kind] = math.log(mass[1] / mass[0])
+        seen: dict[int, list[float]] = {}
+        for (k, v, m), n in counts.items():
+            if k == kind:
+                both = seen.setdefault(m, [0.0, 0.0])
+                both[1] += n * belief[k, v]
+                both[0] += n * (1 - belief[k, v])
+        for m, (no, yes) in seen.items():
+            share = (no + yes) / (mass[0] + mass[1] - 2.0)
+            weights[kind * ALL_MARKS + m] = math.log((yes + SHRINK * share) / (mass[1] - 1 + SHRINK)) - math.log((no + SHRINK * share) / (mass[0] - 1 + SHRINK))
+    return Classifier(prior, weights)
+
+
+def fit(spans: DataFrame, column: str = "found") -> Classifier:
+    """Train on all candidates; at most 27 vote patterns times ``ALL_MARKS`` counts a kind reach the driver."""
+    flat = spans.select(F.explode(column).alias("s")).select("s.kind", "s.votes", F.explode("s.marks").alias("mark"))
+    return train({(r["kind"], r["votes"], r["mark"]): r["count"] for r in flat.groupBy("kind", "votes", "mark").count().collect()})
+
+
+def decide(found: Column, model: Classifier, threshold: float = THRESHOLD) -> Column:
     """The base spans and the accepted others that touch none of them.
 
     No other span is accepted against as many votes as it has for it.
     """
-    good = [f"{k}{v}" for (k, v), p in sorted(model.items()) if p >= threshold and v[:3].count("y") > v[:3].count("n")]
     base = F.filter(found, lambda s: s["base"])
-    if not good:
-        return base
-    more = F.filter(found, lambda s: ~s["base"] & F.concat(s["kind"].cast("string"), s["votes"]).isin(*good))
+    votes = lambda s, a: F.char_length(s["votes"]) - F.char_length(F.translate(s["votes"], a, ""))
+    least = math.log(threshold / (1 - threshold))
+    more = F.filter(found, lambda s: ~s["base"] & (votes(s, "y") > votes(s, "n")) & (model.log_odds(s) >= least))
     cells = lambda spans: F.flatten(F.transform(spans, lambda s: F.sequence(s["start"], s["end"] - 1)))
     shared = F.array_intersect(cells(base), cells(more))  # code points of both, hardly ever any
     free = _with(shared, lambda x: F.filter(more, lambda s: ~F.exists(x, lambda c: (s["start"] <= c) & (c < s["end"]))))
@@ -258,7 +336,7 @@ def mask(text: Column, spans: Column) -> Column:
 
 
 def find(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``ident`` and ``spans``: array<struct<start, kind, end, base, votes>> of every row."""
+    """``ident`` and ``spans``: array<struct<start, kind, end, base, votes, marks>> of every row."""
     found = materialize(docs.select(ident, candidates(F.col(text)).alias("found")), "spans")
     return found.select(ident, decide(F.col("found"), fit(found)).alias("spans"))
 

@@ -606,6 +606,26 @@ def test_dense_texts_take_linear_time(spark):
 
 
 def test_estimate_trusts_the_labelers_that_agree():
-    counts = {(0, "yy-s"): 500, (0, "nn-l"): 500, (0, "-y-l"): 50, (0, "-n-l"): 50}
+    counts = {(0, "yy-"): 500, (0, "nn-"): 500, (0, "-y-"): 50, (0, "-n-"): 50}
     belief = op6_pii.estimate(counts)
-    assert belief[0, "yy-s"] > 0.95 > 0.5 > belief[0, "nn-l"] and belief[0, "-y-l"] > belief[0, "-n-l"]
+    assert belief[0, "yy-"] > 0.95 > 0.5 > belief[0, "nn-"] and belief[0, "-y-"] > belief[0, "-n-"]
+
+
+def test_classifier_tells_apart_what_the_votes_do_not(spark):
+    """Numbers with the same votes: the classifier learned what stands before those that all labelers agree on."""
+    good = [f"please call dialling 212-555-{1000 + i} now" for i in range(300)]
+    bad = [f"isbn part 012 555 {1000 + i} now" for i in range(300)]
+    open_ = [("dialling 212-555-7777 now", 1), ("dialling 313-666-7777 now", 1), ("part 212 555 7777 now", 0), ("part 313 666 7777 now", 0)]
+    rows = list(enumerate([*good, *bad, *(t for t, _ in open_)]))
+    df = spark.createDataFrame(rows, DOCS)
+    votes = {r["doc_id"]: r["c"][0]["votes"] for r in df.select("doc_id", op6_pii.candidates(F.col("text")).alias("c")).collect()}
+    assert len({votes[600 + k] for k in range(4)}) == 1  # EM alone gives all four the same
+    spans = {r["doc_id"]: len(r["spans"]) for r in op6_pii.find(df).collect()}
+    assert [spans[600 + k] for k in range(4)] == [1, 1, 0, 0]
+
+
+def test_marks_are_one_of_each_feature(spark):
+    rows = [(1, "call (212) 555-1234 or a@b.co; ip 1.2.3.4, ::1 4111 1111 1111 1111 + +12345678901"), (2, ""), (3, None), (4, "x" * 5000 + "@" + "y." * 3000 + "z")]
+    found = [s for r in spark.createDataFrame(rows, DOCS).select(op6_pii.candidates(F.col("text")).alias("c")).collect() for s in r["c"]]
+    bounds = np.cumsum([0, *op6_pii.MARKS])
+    assert len(found) >= 5 and all(len(s["marks"]) == len(op6_pii.MARKS) and all(lo <= m < hi for m, lo, hi in zip(s["marks"], bounds[:-1], bounds[1:], strict=True)) for s in found)
