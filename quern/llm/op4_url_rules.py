@@ -14,7 +14,8 @@ they shape the work, never the result.
 
 A null URL or one without ``://`` has an empty host and path. Rows repeat as
 they come; a rule that repeats counts once, and of two rules for one host and
-path the later one in the list holds. An empty table gives an empty result.
+path the later one in the list holds. An empty table gives an empty result. URLs
+may be of any length; columns that are not named are not read.
 """
 
 from __future__ import annotations

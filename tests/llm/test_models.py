@@ -142,6 +142,16 @@ def test_mix_of_nothing(spark):
     assert sorted((r["doc_id"] or 0, r["size"], r["target"], r["taken"]) for r in got) == [(0, 0, 0.0, 0), (1, 0, 0.0, 0), (3, 0, 0.0, 0)]
 
 
+def test_mix_of_odd_rows(spark):
+    """A very long text, repeated rows and columns with the names that the mix uses."""
+    rows = [(1, "w " * 300_000, "a", "x", 1), (2, "one two", "b", "y", 2), (2, "one two", "b", "y", 2), (None, "one", None, "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot string, size int")
+    df = df.withColumns({c: F.lit(1) for c in ("at", "block", "words", "target", "n", "shard", "_many")})
+    got = sorted((r["size"], r["source_size"], r["taken"]) for r in op3_mixing.mix(df).collect())
+    assert [g[:2] for g in got] == [(1, 1), (2, 4), (2, 4), (300_000, 300_000)] and all(t <= 3 * n for n, _, t in got)
+    assert [t for n, _, t in got if n == 2] == [6, 6] and got[0][2] == 3
+
+
 # 7
 
 
@@ -189,6 +199,56 @@ def _steps(model, d, x, mask):
     return np.array(out)
 
 
+def test_the_network_reads_the_order_of_words():
+    """Both classes have the same words; only which of two neighbours comes first tells them apart."""
+    rng = np.random.default_rng(5)
+    fill = [f"w{i}" for i in range(40)]
+
+    def made(n):
+        texts = []
+        for i in range(n):
+            words = list(rng.choice(fill, int(rng.integers(6, 24))))
+            k = int(rng.integers(0, len(words)))
+            texts.append(" ".join([*words[:k], *(("you", "fool") if i % 2 else ("fool", "you")), *words[k:]]))
+        return texts, np.arange(n) % 2
+
+    texts, labels = made(600)
+    model = bigru.train(texts, labels, share=0.5)
+    texts, labels = made(300)
+    assert ((model.scores(texts) > 0.5) == labels).mean() > 0.95
+    # Where the state forgets what came before, the same network can't tell.
+    for d in "fb":
+        model.p[f"u{d}"][:] = 0
+        model.p[f"x{d}"][:, : bigru.HIDDEN] = 0
+        model.p[f"k{d}"][: bigru.HIDDEN] = 50
+    assert ((model.scores(texts) > 0.5) == labels).mean() < 0.7
+
+
+def test_scores_equal_a_plain_loop_over_windows():
+    """Whole texts, window by window and word by word."""
+    texts = ["you fool", "", None, "good day to all of you here", "x " * 100 + "you fool " + "y " * 333, "a-b,c É 漢字 " * 30]
+    model = bigru.train(["you fool you", "a good day", "fool and fool", "day of days"] * 3, np.array([1, 0, 1, 0] * 3), share=0.3)
+    want = []
+    for text in texts:
+        words = re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")
+        starts = [0] if len(words) <= bigru.WINDOW else range(0, len(words) - bigru.WINDOW + bigru.STRIDE, bigru.STRIDE)
+        tops = []
+        for a in starts:
+            some = words[a : a + bigru.WINDOW]
+            if not some:
+                tops.append(float(model.p["b"][0]))
+                continue
+            feats = bigru.Features([" ".join(some)])
+            x = feats.embed(model.p["table"])[feats.tokens][:, None, :].astype(np.float64)
+            mask = np.ones((len(some), 1))
+            states = np.concatenate((_steps(model, "f", x, mask), _steps(model, "b", x[::-1], mask)[::-1]), axis=2)[:, 0, :]
+            look = np.tanh(states @ model.p["wa"] + model.p["ba"]) @ model.p["va"]
+            share = np.exp(look - look.max())
+            tops.append(float((share / share.sum()) @ states @ model.p["w"] + model.p["b"][0]))
+        want.append(1 / (1 + np.exp(-(model.scale * max(tops) + model.shift))))
+    assert np.allclose(model.scores(texts), want, atol=1e-4)
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 31, 32, 33, 48, 49, 1000):
         first, size, bounds = bigru.Features(["w " * n]).windows()
@@ -602,3 +662,18 @@ def test_long_words_need_no_memory(spark):
     assert peak < 12_000_000 and len(trie.best) < 10 and trie.known.keys() <= {b"the"}
     assert short.add(cut) == short.rolled(cut) == slow_count(cut[:300], scores) + short.rolled(cut) - short.rolled(cut[:300])
     assert got == 2 * trie.rolled("▁" + word) + trie.add("▁the")
+
+
+def test_token_counts_of_odd_columns(spark):
+    df = spark.createDataFrame([("k", "the cat", 1, 2), ("k", None, 1, 2)], "n_words string, Text string, n_tokens int, words int")
+    got = op10_token_counts.count_tokens(df.withColumnRenamed("n_words", "id"), op10_token_counts.read_vocabulary(), "id", "Text").collect()
+    assert sorted((r["id"], r["n_words"]) for r in got) == [("k", 0), ("k", 2)]
+
+
+def test_leaks_of_a_long_text_and_odd_rows(spark):
+    item = [f"i{k}" for k in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, None), (3, ""), (None, "x y z"), (4, " ".join(item))], "item_id long, text string")
+    long = "pad " * 400_000 + " ".join(item[:20] + ["new"] + item[21:]) + " pad" * 1000
+    df = docs(spark, [(1, long, "s"), (1, long, "s"), (2, None, "s"), (None, "", "s")])
+    got = sorted((r["doc_id"] or 0, [(x["item_id"], round(x["score"], 3)) for x in r["leaks"]]) for r in op9_decontaminate.with_leaks(df, bench).collect())
+    assert got == [(0, []), (1, [(1, 0.95), (4, 0.95)]), (1, [(1, 0.95), (4, 0.95)]), (2, [])]

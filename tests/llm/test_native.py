@@ -253,6 +253,21 @@ def test_url_rules_equal_brute_force(spark):
     assert op4_url_rules.judge(pages, no_rules).where("verdict = 'allow' and rule is null").count() == len(urls)
 
 
+def test_odd_columns_and_long_urls(spark):
+    """Columns with the names that the operators use, and a URL and path of a megabyte."""
+    long = "http://a.example.org/es/" + "x" * 1_000_000
+    pages = spark.createDataFrame([(1, long, "x", 2), (2, None, "y", 3)], "page_id long, url string, host string, Key int").withColumn("ident", F.lit(1))
+    rules = spark.createDataFrame(list(op4_url_rules.RULES), "verdict string, host string, path string").withColumns({"key": F.lit(1), "kind": F.lit("x")})
+    got = {r["page_id"]: (r["host"], len(r["path"]), r["rule"], r["verdict"]) for r in op4_url_rules.judge(pages, rules).collect()}
+    assert got == {1: ("a.example.org", 1_000_004, "example.org/es/", "block"), 2: ("", 0, None, "allow")}
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], DOCS).withColumns({c: F.lit("z") for c in ("key", "tie", "bucket", "guest", "at", "kind", "signature", "copies", "n_chars")})
+    assert sorted(r["doc_id"] for r in op1_fingerprint.edited_likeness(docs).collect()) == [1, 2]
+    shape = "id long, url string, time long, headers map<string,string>"
+    full = spark.createDataFrame([(1, "u", 1, {"etag": "x"})], shape).withColumns({"chunk": F.lit("c"), "hit": F.lit(1), "kind": F.lit(2)})
+    asked = spark.createDataFrame([(2, "u", 2, {"etag": "x"})], shape).withColumns({"status": F.lit("c"), "near": F.lit(1)})
+    assert [(r["id"], r["status"]) for r in op2_revisits.resolve(full, asked).collect()] == [(2, "resolved")]
+
+
 # 5
 
 
