@@ -23,6 +23,10 @@ from quern.errors import EngineError
 from quern.functions.values import field as column
 
 
+#: A manifest names every segment, so their number is kept down.
+MOST_SEGMENTS = 64
+
+
 @dataclass
 class Segment:
     path: str
@@ -172,6 +176,14 @@ class Store:
         found = hit.groupBy(name.alias("segment")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row a segment at most
         return {r["segment"]: r["n"] for r in found}, hit.select("id")
 
+    def tidy(self, c: Collection) -> None:
+        """Many small inserts leave many segments: beyond ``MOST_SEGMENTS`` the smaller half becomes one."""
+        if len(c.segments) > MOST_SEGMENTS:
+            small = sorted(c.segments, key=lambda s: s.rows)[: len(c.segments) // 2]
+            segment = self.write(self.frame(c, small), c.indexes)
+            c.segments = [s for s in c.segments if s not in small]
+            c.add(segment)
+
     def compact(self, c: Collection) -> Collection:
         """The same rows in one segment."""
         out = Collection(dict(c.types), [], list(c.indexes), c.next_id, c.stats)

@@ -44,22 +44,39 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, late: str) -> Data
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _compacted_upto(spark: SparkSession, path: str) -> int | None:
-    """The last level that a finished compaction holds."""
+def _compactions(spark: SparkSession, path: str) -> list[int]:
+    """The last levels that finished compactions hold, ascending."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}-compacted")
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return None
+        return []
     done = [f.getPath() for f in files.listStatus(folder)]
     done = [p for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max((int(p.getName().removeprefix("upto=")) for p in done), default=None)
+    return sorted(int(p.getName().removeprefix("upto=")) for p in done)
+
+
+def _remove_merged(spark: SparkSession, path: str) -> None:
+    """Delete what the compaction before the last holds already: readers of that one can still end."""
+    done = _compactions(spark, path)
+    if len(done) < 2:
+        return
+    fs = spark._jvm.org.apache.hadoop.fs
+    folder = fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for upto in done[:-2]:
+        files.delete(fs.Path(f"{path}-compacted/upto={upto}"), True)
+    for f in files.listStatus(folder):
+        name = f.getPath().getName()
+        if name.startswith("level=") and int(name.removeprefix("level=")) <= done[-2]:
+            files.delete(f.getPath(), True)
 
 
 def _levels(spark: SparkSession, path: str) -> DataFrame:
     """The last compaction and the levels after it."""
-    upto, levels = _compacted_upto(spark, path), spark.read.parquet(path)
-    if upto is None:
+    done, levels = _compactions(spark, path), spark.read.parquet(path)
+    if not done:
         return levels.drop("level")
+    upto = done[-1]
     older = spark.read.parquet(f"{path}-compacted/upto={upto}")
     return older.unionByName(levels.where(F.col("level") > upto).drop("level"))
 
@@ -68,7 +85,7 @@ def merge_into(stream: DataFrame, path: str, key: str, seq: str, gone: str, chec
     """Keep a log-structured table: each batch is a level, every few batches they are merged.
 
     A batch writes under its own number, so one that is repeated after a
-    failure replaces itself. ``gone`` is an SQL condition for deletions; their
+    failure replaces itself. What two compactions hold is deleted. ``gone`` is an SQL condition for deletions; their
     rows stay in compactions, as older levels may come late.
     """
 
@@ -77,6 +94,7 @@ def merge_into(stream: DataFrame, path: str, key: str, seq: str, gone: str, chec
         batch.write.mode("overwrite").parquet(f"{path}/level={number}")
         if number and number % every == 0:
             merged(_levels(spark, path), key, seq, F.expr(gone), keep_tombstones=True).write.mode("overwrite").parquet(f"{path}-compacted/upto={number}")
+            _remove_merged(spark, path)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

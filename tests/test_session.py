@@ -2,9 +2,11 @@ import pytest
 
 from quern.plans import server
 from quern.plans.batch import run_batch
-from quern.plans.session import Session
+from quern.plans.estimate import cheapest_first, share
+from quern.plans.parser import parse
+from quern.plans.session import Session, fields
 from quern.plans.shell import Shell
-from quern.sources import results
+from quern.sources import results, store
 
 USERS = 'vietinfo users [{name: "Alice", age: 20, city: "HN"}, {name: "Bob", age: 25, city: "HCM"}, {name: "Carol", age: 18, city: "HN"}, {name: "Dave", age: 30, city: "DN"}]'
 
@@ -240,6 +242,27 @@ def test_statistics_are_kept(session):
     assert (rows["age"]["low"], rows["age"]["high"], rows["city"]["distinct"]) == (18.0, 30.0, 3)
 
 
+def test_statistics_order_conditions_and_say_what_to_expect(session):
+    where = 'haar name $kc "Bob" $vand age $bg 25 $vand age $bh 0'
+    before = [r["id"] for r in session.sql(f"funden users {where}").collect()]
+    session.execute("analyze users")
+    info = session.execute(f"exepanus funden users {where}").info
+    assert "about 1 of 4 documents" in info
+    assert [r["id"] for r in session.sql(f"funden users {where}").collect()] == before == []
+    known = session._known("users")
+    found = parse(f"funden users {where}").where
+    assert fields(found) == ["name", "age", "age"] and fields(cheapest_first(found, known)) == ["age", "name", "age"]
+    assert share(parse("funden users haar age $lh 24").where, known) == 0.5 and share(parse("funden users haar $vnot nope $tntt").where, known) == 1.0
+
+
+def test_small_inserts_are_brought_together(session, monkeypatch):
+    monkeypatch.setattr(store, "MOST_SEGMENTS", 4)
+    for i in range(6):
+        session.execute(f"vietinfo many {{n: {i}}}")
+    assert len(session.store.read().collections["many"].segments) <= 4
+    assert sorted(r["n"] for r in session.sql("funden many").collect()) == [0, 1, 2, 3, 4, 5]
+
+
 def test_export_and_vacuum(session, tmp_path):
     session.execute("analyze users")
     session.execute('cochin users haar name $bg "Bob" $quy age 26')
