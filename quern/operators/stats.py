@@ -67,13 +67,13 @@ def histogram(df: DataFrame, name: str, buckets: int = HISTOGRAM, ranges: int =
         return F.when(F.col("value") > marks[middle], range_of(middle + 1, hi)).otherwise(range_of(lo, middle))
 
     at = range_of(0, len(marks))
-    placed = counts.withColumn("at", at)
-    before = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
-    bases = placed.groupBy("at").agg(F.sum("n").alias("n")).select("at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    values = df.where(field(name).isNotNull()).select(field(name).cast("double").alias("value"))
+    sizes = {r["at"]: r["n"] for r in values.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``ranges`` rows
+    bases = [sum(n for i, n in sizes.items() if i < k) for k in range(len(marks) + 1)]
+    total = sum(sizes.values())
     within = Window.partitionBy("at").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(F.broadcast(bases), "at").withColumn("upto", F.col("base") + F.sum("n").over(within))  # at most ``ranges`` rows
+    ranked = counts.withColumn("at", at).withColumn("upto", F.get(F.lit(bases), F.col("at")) + F.sum("n").over(within))
     # A value knows its ranks, and so the buckets that end at one of them: no join with these.
-    total = df.where(field(name).isNotNull()).count()
 
     def ended(rank: str) -> Column:  # buckets that end at a rank or before
         return F.least(F.lit(buckets), F.expr(f"(({rank} + 1) * {buckets} - 1) div {max(1, total)}").cast("int"))
