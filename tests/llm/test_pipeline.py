@@ -1,4 +1,8 @@
+import re
+
 import corpus_pipeline
+import numpy as np
+import test_models as slow
 from pyspark.sql import functions as F
 
 from quern.llm import op6_pii, op7_toxicity, op8_near_dedup, op9_decontaminate
@@ -28,11 +32,55 @@ def test_stages_and_run(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, mix.collect()))
 
 
+def test_run_equals_brute_force(spark, small):
+    """The whole run over sf0.001, stage by stage in plain Python: all pairs, all alignments, spans cut by hand, targets in a loop."""
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = op7_toxicity.fit(docs, labels)
+    scores = dict(zip(rows, model.scores([r["text"] for r in rows.values()]), strict=True))
+    clean = {i: r["text"] for i, r in rows.items() if scores[i] < 0.7}
+    groups = slow.brute_groups(list(clean.items()), 5, 80)
+    alone = {i: t for i, t in clean.items() if groups[i][1] == i}
+    bench = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda c: c[0].lower(), r["text"])) for r in table(spark, small, "benchmark").collect()]
+    numbers = {w: k for k, w in enumerate(sorted({w for item in bench for w in item}))}
+    items = [np.array([numbers[w] for w in item]) for item in bench]
+    fresh = {}
+    for i, t in alone.items():
+        words = np.array([numbers.get(w, -1) for w in re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda c: c[0].lower(), t or ""))], dtype=int)
+        best = op9_decontaminate.best_scores([(item, words) for item in items])
+        if not any(s >= max(0.8 * len(item), 2 * min(3, len(item))) for s, item in zip(best, items, strict=True)):
+            fresh[i] = t
+    kept = spark.createDataFrame([(i, t) for i, t in fresh.items()], "doc_id long, text string")
+    masked = {}
+    for r in op6_pii.find(kept).collect():
+        text, out, at = fresh[r["doc_id"]] or "", [], 0
+        for s in r["spans"]:
+            if s["start"] >= at:
+                out.append(f"{text[at : s['start']]}[{op6_pii.KINDS[s['kind']].upper()}]")
+            at = max(at, s["end"])
+        masked[r["doc_id"]] = "".join(out) + text[at:]
+    size = {i: len(slow.words_of(t)) for i, t in masked.items()}
+    sizes = {}
+    for i, n in size.items():
+        sizes[rows[i]["source"]] = sizes.get(rows[i]["source"], 0) + n
+    want, given = slow.brute_targets(sizes), {}
+    got = corpus_pipeline.run(spark, small).collect()
+    assert {r["doc_id"]: r["size"] for r in got} == size and len(got) == len(size) < len(alone) < len(clean) <= len(rows)
+    for r in got:
+        s = rows[r["doc_id"]]["source"]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 and r["taken"] <= 3 * r["size"]
+        given[s] = given.get(s, 0) + r["taken"]
+    assert all(abs(given[s] - want[s]) <= 1 for s in sizes)
+
+
 def test_rows_that_share_an_id(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, "q w e r t y u", "en", "s", 1), (None, "z x c v b n m", "en", None, 1), (None, "z x c v b n m", "en", None, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 1, 2]
+    other = spark.createDataFrame([(1, "another text under the same id", "en", "s", 1), (4, "a b c d e f g", "en", "s", 1)], docs.schema)
+    got = corpus_pipeline.near_duplicates(spark, docs.union(other), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"][:1]) for r in got) == [(0, "z"), (0, "z"), (1, "a"), (1, "a"), (2, "q")]
 
 
 def test_stages_keep_other_columns(spark, small):
