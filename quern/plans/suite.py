@@ -360,7 +360,7 @@ def _statements(spark: SparkSession) -> tuple[Session, list[tuple[int, str]]]:
 add("catalog_statements", lambda s, d: s.createDataFrame(_statements(s)[1], "step int, code string"), "VALUES " + ", ".join(f"({i}, '{code}')" for i, (_, code) in enumerate(STATEMENTS)))
 _ORACLES["catalog_statements"] = f"SELECT col0::INT AS step, col1 AS code FROM ({_ORACLES['catalog_statements']})"
 add("tx_commit", lambda s, d: _statements(s)[0].sql("funden shops"), "SELECT * FROM (VALUES (1.0::DOUBLE, 'A', 3.0::DOUBLE), (2.0, 'B', 7.0)) t(id, name, size)")
-add("stats_kept", lambda s, d: _statements(s)[0].statistics("shops").drop("distinct"), "SELECT * FROM (VALUES ('id', 3, 0, 1.0::DOUBLE, 3.0::DOUBLE, 2.0::DOUBLE), ('name', 3, 0, NULL, NULL, NULL), ('size', 2, 1, 3.0, 5.0, 4.0)) t(field, present, missing, low, high, mean)")
+add("stats_kept", lambda s, d: _statements(s)[0].statistics("shops").drop("distinct"), "SELECT * FROM (VALUES ('id', 3::BIGINT, 0::BIGINT, 1.0::DOUBLE, 3.0::DOUBLE, 2.0::DOUBLE), ('name', 3, 0, NULL, NULL, NULL), ('size', 2, 1, 3.0, 5.0, 4.0)) t(field, present, missing, low, high, mean)")
 
 
 def _import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,7 +422,7 @@ add("mvcc_latest", lambda s, d: versions.newest(read(s, d, "events").drop("ts"),
 add(
     "mvcc_ties",
     lambda s, d: versions.newest(read(s, d, "events").drop("ts").withColumn("seq", F.expr("event_id div 100")), "user_id", "seq"),
-    "SELECT * FROM (SELECT * EXCLUDE ts, event_id // 100 AS seq FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC, event_id) = 1",
+    "SELECT * FROM (SELECT * EXCLUDE ts, (event_id // 100)::BIGINT AS seq FROM events) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC, event_id) = 1",
 )
 add(
     "mvcc_asof",
