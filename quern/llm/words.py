@@ -75,9 +75,20 @@ class Batch:
     def __init__(self, texts: list[str | None], space: np.ndarray = _SPACE):
         data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
         ends = np.cumsum([len(d) + 1 for d in data]) if data else np.zeros(0, np.int64)
-        self.words, self.begin, self.end = word_hashes(b"\n".join(data), space)
+        # Hashing takes some fifty bytes a byte for a while, so a run of texts at a time.
+        found, first, size = [], 0, 0
+        for k, d in enumerate(data):
+            size += len(d) + 1
+            if size >= _PIECE or k == len(data) - 1:
+                words, begin, end = word_hashes(b"\n".join(data[first : k + 1]), space)
+                at = int(ends[k]) - size
+                found.append((words, begin + at, end + at))
+                first, size = k + 1, 0
+        none = np.zeros(0, np.int64)
+        parts = zip(*found, strict=True) if found else ([np.zeros(0, _U)], [none], [none])
+        self.words, self.begin, self.end = (np.concatenate(p) for p in parts)
         self.at = np.concatenate(([0], np.searchsorted(self.begin, ends))).astype(np.int64)
-        self.offset = np.concatenate(([0], ends[:-1])).astype(np.int64) if data else np.zeros(0, np.int64)
+        self.offset = np.concatenate(([0], ends[:-1])).astype(np.int64) if data else none
 
     def shingles(self, n: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of ``n`` words, text by text, and their bounds.
