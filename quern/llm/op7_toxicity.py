@@ -17,6 +17,9 @@ the same name as a new one is replaced.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +71,18 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: int
             fit_in.append(k)
             size += n
     rows = sorted((r["doc_id"], r["text"]) for r in texts.where(F.col("doc_id").isin(fit_in)).collect()) if fit_in else []
-    return train([t for _, t in rows], np.array([label_of[k] for k, _ in rows]), share=max(1, counts.get(1, 0)) / total)
+    model = train([t for _, t in rows], np.array([label_of[k] for k, _ in rows]), share=max(1, counts.get(1, 0)) / total)
+    del rows, texts, picked
+    _give_back()
+    return model
+
+
+def _give_back() -> None:
+    """Return what training took to the system, where the C library can: the driver goes on to other stages."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
