@@ -352,5 +352,6 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of = lambda k: lambda s: s["kind"] == k  # noqa: E731 (a second parameter of the inner one would be the place in the array)
+    counts = [F.size(F.filter(base, of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))

@@ -587,6 +587,18 @@ def test_base_spans_equal_brute_force(spark, small):
         assert got == base_spans(texts[r["doc_id"]]), (texts[r["doc_id"]] or "")[:80]
 
 
+def test_query_counts_each_kind(spark, tmp_path):
+    """The query's own columns: the counts say the kinds, wherever in the text their spans stand."""
+    texts = [t for t in ODD if len(t or "") < 1000]
+    spark.createDataFrame(list(enumerate(texts)), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op6_pii.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        want = base_spans(text)
+        assert [got[i][f"n_{kind}"] for kind, _ in BASE] == [sum(s.startswith(kind) for s in want) for kind, _ in BASE], text
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+
+
 def test_base_patterns_equal_brute_force_at_random(spark):
     rng = np.random.default_rng(8)
     alphabet = list("0123456789..  --+@()ab") + ["4111111111111111", "1.2.3.4", "@x.y"]
