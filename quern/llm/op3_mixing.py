@@ -77,7 +77,7 @@ def plan(sized: DataFrame, block: int = BLOCK, most: int = MOST) -> DataFrame:
         if now == (rest, whole) or not now[1]:
             break
         rest, whole = now
-    target = F.when(full, (F.col("size") * most).cast("double")).otherwise((F.col("weight") * F.lit(rest)).cast("double") / float(max(1, whole)))
+    target = F.when(full, (F.col("size") * most).cast("double")).otherwise((F.col("weight").cast("long") * F.lit(rest)).cast("double") / float(max(1, whole)))
     words = F.least(F.round("target").cast("long"), F.col("size") * most)
     blocks = F.expr(f"(size + {block - 1}) div {block}")
     need = F.when(F.col("words") > 0, F.expr(f"(words div size) * blocks + (words % size + {block - 1}) div {block}")).otherwise(0).cast("long")

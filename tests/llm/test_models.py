@@ -1,5 +1,6 @@
 """The operators that SQL can't express, against brute force, a round trip or held-out labels."""
 
+import math
 import re
 import zlib
 from itertools import combinations
@@ -84,6 +85,19 @@ def test_mix_reaches_its_targets(spark, seed):
         assert abs(sum(by_target[n, round(want[s], 6)]) - want[s]) <= 1
 
 
+@pytest.mark.parametrize("unit", [200_000_000, 300_000_000, 10_000_000_000])
+def test_targets_of_billions_of_words(spark, unit):
+    """Weight times words is above 2^31, though the words of all sources may be below."""
+    sizes = {"a": unit, "b": unit + 1, "c": 2 * unit, "d": 2 * unit + 5, "tiny": 7}
+    sized = spark.createDataFrame([(i, s, n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, size long")
+    sources, want = op3_mixing.plan(sized, block=unit // 100), brute_targets(sizes)
+    plan = {r["source"]: r for r in sources.collect()}
+    assert {s: r["size"] for s, r in plan.items()} == sizes
+    assert all(math.isclose(r["target"], want[s], rel_tol=1e-12) and r["words"] == round(want[s]) for s, r in plan.items())
+    given = {r["at"]: r["words"] for r in op3_mixing.schedule(sources, unit // 100).groupBy("at").sum("words").toDF("at", "words").collect()}
+    assert given == {r["at"]: r["words"] for r in plan.values()}
+
+
 @pytest.mark.parametrize("few", [op3_mixing.FEW, 0])
 def test_schedule_keeps_proportions_all_along(spark, monkeypatch, few):
     monkeypatch.setattr(op3_mixing, "FEW", few)
